@@ -27,12 +27,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def render(df: DataFrame, digits: int = 8) -> DataFrame:
+def render(df: DataFrame, digits: int = 8, **special: int) -> DataFrame:
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = F.round(c.cast("double"), special.get(f.name, digits)) + F.lit(0.0)
         elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             c = c.cast("string")
         elif isinstance(f.dataType, T.BooleanType):

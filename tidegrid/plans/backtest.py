@@ -99,9 +99,10 @@ def origin_list(df: DataFrame, spec: Backtest, keys=("series_id",)) -> DataFrame
 
 
 def _explode_origins(df: DataFrame, spec: Backtest, keys, low: Column, high: Column) -> DataFrame:
+    # ``greatest`` and ``least`` skip nulls, so a null limit (no origin) is kept apart.
     width = spec.every_seconds
     out = df.join(origin_bounds(df, spec, keys), list(keys)).withColumns({
-        "_lo": F.greatest(_up(low, width), F.col("_first")),
+        "_lo": F.when(low.isNotNull(), F.greatest(_up(low, width), F.col("_first"))),
         "_hi": F.least(_down(high, width), F.col("_last"))})
     return (out.where("_lo <= _hi")
                .withColumn("_o", F.explode(F.sequence("_lo", "_hi", F.lit(width).cast("long"))))
@@ -142,16 +143,20 @@ def origin_chunks(df: DataFrame, spec: Backtest, per_chunk: int, keys=("series_i
 
     A chunk holds ``train + per_chunk * every + horizon`` rows however long the
     series is, and a row is copied about ``1 + train / (per_chunk * every)`` times.
+    With an expanding window a row goes to every later chunk, as each of its
+    origins trains on it; a chunk is then as long as the calendar up to its end.
     Adds ``_chunk``, ``_first`` and ``_last`` (origins of the series, seconds).
     """
-    if spec.expanding:
-        raise ValueError("an expanding window is not bounded: use training_rows")
     s, width = spec.step_seconds, spec.every_seconds
     low = _up(epoch() - (spec.horizon - spec.score_from) * s, width)
     high = _down(epoch() + (spec.score_from + spec.train - 1) * s, width)
     span = per_chunk * width
+    if spec.expanding:
+        start = F.col("_first") - (spec.score_from + spec.train - 1) * s
+        high = F.when(epoch() >= start, F.col("_last"))
     out = df.join(origin_bounds(df, spec, keys), list(keys)).withColumns({
-        "_lo": F.greatest(low, F.col("_first")), "_hi": F.least(high, F.col("_last"))})
+        "_lo": F.greatest(low, F.col("_first")),
+        "_hi": F.when(high.isNotNull(), F.least(high, F.col("_last")))})
     return (out.where("_lo <= _hi")
                .withColumn("_chunk", F.explode(F.sequence(
                    F.floor(F.col("_lo") / span), F.floor(F.col("_hi") / span))))
