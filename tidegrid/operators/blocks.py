@@ -52,3 +52,11 @@ def add_framed(df: DataFrame, columns: dict[str, Column], step: str, before: int
                after: int = 0, block: int | None = None) -> DataFrame:
     """Evaluate window columns over haloed blocks and keep each row once."""
     return core_rows(with_halo(df, step, before, after, block).withColumns(columns))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash by the keys of a grouped fit into the session's shuffle partitions.
+
+    It takes the place of the shuffle the grouping needs anyway, and keeps adaptive
+    execution from merging groups that are small in bytes but long to compute."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.terms import box_cox, inverse_box_cox
-from tidegrid.operators.blocks import epoch
+from tidegrid.operators.blocks import epoch, spread
 from tidegrid.operators.linear import chunk_size
 from tidegrid.plans.backtest import Backtest, horizon_rows, origin_chunks
 
@@ -70,24 +70,35 @@ def _run(z: Column, c: Column) -> Column:
     return F.aggregate(F.slice(z, F.lit(2), F.size(z) - 1), start, move, finish)
 
 
-def _window_lambda(y: Column, period: int, grid) -> Column:
-    """Box-Cox parameter of one window, as in smoothing.guerrero_lambda."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(y) / period).cast("int") - 1),
-        lambda i: F.slice(y, i * period + 1, F.lit(period)))
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a column named in a lambda body
+    would be computed again for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    def spread(q: Column) -> Column:
-        mean = F.aggregate(q, F.lit(0.0), lambda s, v: s + v) / F.size(q)
-        var = F.aggregate(q, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / (F.size(q) - 1)
-        return F.struct(mean.alias("m"), F.sqrt(var).alias("s"))
+def _moments(q: Column) -> Column:
+    """Mean and sample standard deviation of an array."""
+    total = F.aggregate(q, F.lit(0.0), lambda s, v: s + v)
 
-    moments = F.transform(blocks, spread)
+    def around(mean: Column) -> Column:
+        squares = F.aggregate(q, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
+        return F.struct(mean.alias("m"), F.sqrt(squares / (F.size(q) - 1)).alias("s"))
 
-    def score(lam: Column) -> Column:
-        q = spread(F.transform(moments, lambda p: p["s"] / F.pow(p["m"], F.lit(1.0) - lam)))
-        return F.struct((q["s"] / F.nullif(q["m"], F.lit(0.0))).alias("cv"), lam.alias("lam"))
+    return _bind(total / F.size(q), around)
 
-    return F.array_min(F.transform(F.array(*[F.lit(float(g)) for g in grid]), score))["lam"]
+
+def _window_lambda(y: Column, period: int, grid) -> Column:
+    """Box-Cox parameter of one window, as in smoothing.guerrero_lambda."""
+    starts = F.sequence(F.lit(0), F.floor(F.size(y) / period).cast("int") - 1)
+    blocks = F.transform(starts, lambda i: _moments(F.slice(y, i * period + 1, F.lit(period))))
+
+    def score(of_blocks: Column, lam: Column) -> Column:
+        ratios = F.transform(of_blocks, lambda p: p["s"] / F.pow(p["m"], F.lit(1.0) - lam))
+        return _bind(ratios, lambda q: _bind(_moments(q), lambda v: F.struct(
+            (v["s"] / F.nullif(v["m"], F.lit(0.0))).alias("cv"), lam.alias("lam"))))
+
+    values = F.array(*[F.lit(float(g)) for g in grid])
+    return _bind(blocks, lambda of: F.array_min(F.transform(values, lambda lam: score(of, lam))))["lam"]
 
 
 def origin_windows(df: DataFrame, spec: Backtest, keys=("series_id",), value: str = "value",
@@ -102,7 +113,7 @@ def origin_windows(df: DataFrame, spec: Backtest, keys=("series_id",), value: st
     span = per_chunk * spec.every_seconds
     s = spec.step_seconds
     rows = origin_chunks(df.select(*keys, "ts", value), spec, per_chunk, keys)
-    chunks = rows.groupBy(*keys, "_chunk").agg(
+    chunks = spread(rows, *keys, "_chunk").groupBy(*keys, "_chunk").agg(
         F.first("_first").alias("_first"), F.first("_last").alias("_last"), F.min(epoch()).alias("_s0"),
         F.transform(F.array_sort(F.collect_list(F.struct(epoch().alias("s"), F.col(value).cast("double").alias("v")))),
                     lambda r: r["v"]).alias("_all"))
@@ -121,15 +132,21 @@ def ets_models(df: DataFrame, spec: Backtest, forms=FORMS, lam: float | str | No
                keys=("series_id",)) -> DataFrame:
     """Best candidate by AICc per origin. ``lam``: None (no transform), a number, or
     "auto" (chosen per window; needs positive values)."""
+    choices = _candidate_array(forms)
+
+    def best(z: Column) -> Column:
+        return F.array_min(F.transform(choices, lambda c: _run(z, c)))
+
+    def fitted(y: Column) -> Column:
+        if lam is None:
+            return F.struct(F.lit(None).cast("double").alias("lam"), best(y).alias("m"))
+        chosen = _window_lambda(y, lambda_period, lambda_grid) if lam == "auto" else F.lit(float(lam))
+        return _bind(chosen, lambda p: F.struct(p.alias("lam"), _bind(
+            F.transform(y, lambda v: box_cox(v, p)), best).alias("m")))
+
     windows = origin_windows(df, spec, keys)
-    if lam == "auto":
-        windows = windows.withColumn("lam", _window_lambda(F.col("_y"), lambda_period, lambda_grid))
-    else:
-        windows = windows.withColumn("lam", F.lit(None if lam is None else float(lam)).cast("double"))
-    z = F.col("_y") if lam is None else F.transform("_y", lambda v: box_cox(v, F.col("lam")))
-    fitted = windows.withColumn("_z", z).withColumn(
-        "m", F.array_min(F.transform(_candidate_array(forms), lambda c: _run(F.col("_z"), c))))
-    return fitted.select(*keys, "origin", "lam", "m.*")
+    return windows.select(*keys, "origin", _bind(F.col("_y"), fitted).alias("f")).select(
+        *keys, "origin", "f.lam", "f.m.*")
 
 
 def ets_forecast(df: DataFrame, spec: Backtest, forms=FORMS, lam: float | str | None = None,

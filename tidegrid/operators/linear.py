@@ -11,12 +11,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidegrid.functions.solve import seasonal_arma_forecast, solve_centred
-from tidegrid.operators.blocks import DAY, epoch
+from tidegrid.operators.blocks import epoch, spread
 from tidegrid.plans.backtest import Backtest, horizon_rows, origin_bounds, origin_chunks, training_rows
 
 
@@ -135,9 +139,9 @@ def rolling_regression(df: DataFrame, features, spec: Backtest, label: str = "va
             result.insert(0, k, pdf[k].iloc[0])
         return result
 
-    grouped = _with_seconds(df, spec, per_chunk or chunk_size(spec), keys, [label, *features, *extra])
+    rows = _with_seconds(df, spec, per_chunk or chunk_size(spec), keys, [label, *features, *extra])
     predicted = F.col("base") + F.col("level") + F.col("residual")
-    return grouped.groupBy(*keys, "_chunk").applyInPandas(run, schema).select(
+    return spread(rows, *keys, "_chunk").groupBy(*keys, "_chunk").applyInPandas(run, schema).select(
         *keys, F.timestamp_seconds("_o").alias("origin"), "step", F.timestamp_seconds("_s").alias("ts"),
         "actual", "base", "level", "residual", predicted.alias("predicted"))
 
@@ -160,8 +164,8 @@ def rolling_coefficients(df: DataFrame, features, spec: Backtest, label: str = "
                          float(beta[-1] - slopes @ c.centre), slopes.tolist()))
         return pd.DataFrame(rows, columns=schema.names)
 
-    grouped = _with_seconds(df, spec, per_chunk or chunk_size(spec), keys, [label, *features])
-    return grouped.groupBy(*keys, "_chunk").applyInPandas(run, schema).select(
+    rows = _with_seconds(df, spec, per_chunk or chunk_size(spec), keys, [label, *features])
+    return spread(rows, *keys, "_chunk").groupBy(*keys, "_chunk").applyInPandas(run, schema).select(
         *keys, F.timestamp_seconds("_o").alias("origin"), "n", "intercept", "coefficients")
 
 
@@ -202,7 +206,7 @@ def residual_forecast(residuals: DataFrame, spec: Backtest, order=(1, 0, 1), sea
         return out
 
     rows = residuals.select(*keys, epoch("origin").alias("_o"), epoch().alias("_s"), F.col(column).alias("_r"))
-    return rows.groupBy(*keys, "_o").applyInPandas(run, schema).select(
+    return spread(rows, *keys, "_o").groupBy(*keys, "_o").applyInPandas(run, schema).select(
         *keys, F.timestamp_seconds("_o").alias("origin"), "step", "residual")
 
 
@@ -210,3 +214,72 @@ def add_residual_layer(base: DataFrame, layer: DataFrame, keys=("series_id",)) -
     """Base forecast plus residual forecast of the same origin and step."""
     return (base.join(layer, [*keys, "origin", "step"])
             .withColumn("predicted", F.col("predicted") + F.col("residual")))
+
+
+def series_gram(df: DataFrame, features, label: str = "value", keys=("series_id",),
+                held: int = 256) -> DataFrame:
+    """(keys, gram): sums of products of [features, 1, label] per series, flat.
+
+    Rows are not shuffled: every task adds up the arrays of the series it meets
+    (at most ``held`` at a time) and only those arrays travel. Their sum is a
+    partial aggregation too, so a series with most of the rows has no hot task."""
+    keys, columns = list(keys), [*features, label]
+    size = len(columns) + 1
+    schema = T.StructType([*_key_fields(df, keys), T.StructField("gram", T.ArrayType(T.DoubleType()))])
+
+    def add_up(batches):
+        sums: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            rows = [dict(zip(keys, k)) | {"gram": g.ravel().tolist()} for k, g in sums.items()]
+            sums.clear()
+            return pa.RecordBatch.from_pylist(rows, schema=to_arrow_schema(schema))
+
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            x = np.insert(x, size - 2, 1.0, axis=1)
+            good = np.isfinite(x).all(axis=1)
+            names = batch.select(keys).to_pandas()
+            for k, at in names[good].groupby(keys, sort=False, dropna=False).indices.items():
+                part = x[good][at]
+                k = k if isinstance(k, tuple) else (k,)
+                sums[k] = sums.get(k, 0.0) + part.T @ part
+                if len(sums) >= held:
+                    yield flush()
+        if sums:
+            yield flush()
+
+    rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    return rows.mapInArrow(add_up, schema).groupBy(*keys).agg(
+        vector_to_array(Summarizer.sum(array_to_vector("gram"))).alias("gram"))
+
+
+def regression_summary(df: DataFrame, features, label: str = "value", keys=("series_id",)) -> DataFrame:
+    """Whole-sample fit per series: one row per term with estimate, standard error
+    and t value, and the R squared of the fit."""
+    names = [*features, "(Intercept)"]
+    size = len(names) + 1
+    schema = T.StructType([*_key_fields(df, keys), T.StructField("term", T.StringType()),
+                           T.StructField("n", T.LongType()),
+                           *[T.StructField(c, T.DoubleType()) for c in ("estimate", "std_error", "t_value", "r2")]])
+
+    def summarise(frames):
+        for pdf in frames:
+            rows = []
+            for rec in pdf.to_dict("records"):
+                g = np.asarray(rec["gram"], dtype=float).reshape(size, size)
+                n = g[-2, -2]
+                beta = solve_centred(g[:-1, :-1], g[:-1, -1])
+                left = g[-1, -1] - beta @ g[:-1, -1]
+                total = g[-1, -1] - g[-2, -1] ** 2 / n
+                used = np.flatnonzero(np.append(beta[:-1] != 0, True))
+                inverse = np.linalg.pinv(g[np.ix_(used, used)])
+                error = np.full(len(beta), np.nan)
+                error[used] = np.sqrt(np.maximum(left, 0) / max(n - len(used), 1) * np.diag(inverse))
+                for i, name in enumerate(names):
+                    rows.append((*[rec[k] for k in keys], name, int(n), float(beta[i]), float(error[i]),
+                                 float(beta[i] / error[i]) if error[i] > 0 else None,
+                                 float(1 - left / total) if total > 0 else None))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return series_gram(df, features, label, keys).mapInPandas(summarise, schema)
