@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.catalogue.joins import _COLS, _STATION_GRID, station_hours
-from tidegrid.catalogue.registry import (DAILY, DAY_FILLED_CHAIN, DENSE_CHAIN, EV, FILLED_CHAIN, HOURLY,
+from tidegrid.catalogue.registry import (DAILY, DAY_FILLED_CHAIN, DENSE_CHAIN, FILLED_CHAIN, HOURLY,
                                          STATION_HOURS, STATION_ROWS, query, r, render, txt, with_)
 from tidegrid.functions.stats import row_mean
 from tidegrid.operators import grid, impute, weather

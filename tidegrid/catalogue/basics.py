@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.catalogue.registry import (DAY_FILLED_CHAIN, DENSE_CHAIN, EV, FILLED_CHAIN, HOURLY,
-                                         STATION_HOURS, STATION_ROWS, query, r, render, txt, with_)
+from tidegrid.catalogue.registry import (DAY_FILLED_CHAIN, DENSE_CHAIN, FILLED_CHAIN, HOURLY, STATION_HOURS,
+                                         STATION_ROWS, query, r, render, txt, with_)
 from tidegrid.functions import calendar as cal
 from tidegrid.functions.stats import any_missing
-from tidegrid.functions.text import clean_names
-from tidegrid.operators import features, grid, impute, metrics
+from tidegrid.functions.text import clean_names, repair_century
+from tidegrid.operators import features, grid, impute, metrics, weather
 from tidegrid.sources import tables
 
 
@@ -104,9 +104,8 @@ _STATION_COLS = ("africa", "america", "asia", "europe", "middle_east")
 
 
 def _wide(spark, folder):
-    from tidegrid.operators.weather import stations_wide
     hours = grid.bucket_mean(tables.station_readings(spark, folder), "hour", ("station",))
-    return stations_wide(hours, tables.STATIONS).toDF("ts", *_STATION_COLS)
+    return weather.stations_wide(hours, tables.STATIONS).toDF("ts", *_STATION_COLS)
 
 
 @query("p13_rows_with_any_missing", with_(STATION_ROWS, STATION_HOURS, _WIDE) + f"""SELECT {txt('ts')} AS ts,
@@ -211,11 +210,12 @@ def t1(spark, folder):
         "~", "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("key"))
 
 
-@query("t2_collapse_text", """SELECT n_regionkey, string_agg(n_name, ' ' ORDER BY n_name) AS names
-  FROM nation GROUP BY 1""")
+@query("t2_collapse_text", f"""SELECT {txt('CAST(o_orderdate AS DATE)')} AS day,
+  string_agg(DISTINCT o_orderpriority, ' ' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY 1""")
 def t2(spark, folder):
-    return tables.table(spark, folder, "nation").groupBy("n_regionkey").agg(
-        F.array_join(F.array_sort(F.collect_list("n_name")), " ").alias("names"))
+    # A set of priorities, of which there are five: bounded whatever the day holds.
+    return render(tables.order_readings(spark, folder).groupBy(F.to_date("ts").alias("day")).agg(
+        F.array_join(F.array_sort(F.collect_set("series_id")), " ").alias("priorities")))
 
 
 @query("t3_name_pattern", """SELECT o_orderkey, replace(replace(o_orderpriority, ' ', ''), '-', '_') AS priority
@@ -234,7 +234,6 @@ def t4(spark, folder):
 @query("t5_replace_substring", """SELECT o_orderkey,
   concat('20', substr(strftime(o_orderdate, '%Y-%m-%d'), 3)) AS stamp FROM orders""")
 def t5(spark, folder):
-    from tidegrid.functions.text import repair_century
     return tables.table(spark, folder, "orders").select(
         "o_orderkey", repair_century(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("stamp"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
-from tidegrid.catalogue.registry import query, r, render, txt
+from tidegrid.catalogue.registry import query, render, txt
 from tidegrid.functions import calendar as cal
 from tidegrid.functions import text
 from tidegrid.sources import tables
@@ -77,7 +79,6 @@ def d12(spark, folder):
 @query("d13_date_flag", """SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) > DATE '1999-03-01' AS INTEGER) AS cca
   FROM orders""")
 def d13(spark, folder):
-    from datetime import date
     return _orders(spark, folder).select("o_orderkey", cal.tariff_flag(after=date(1999, 3, 1)).alias("cca"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.catalogue.joins import (DAILY_SPEC, DAY_ORIGINS, EXPANDING_SPEC, HOURLY_SPEC, ORIGINS)
 from tidegrid.catalogue.registry import DAY_FILLED_CHAIN, FILLED_CHAIN, query, r, render, txt, with_
-from tidegrid.operators import grid, lags, metrics
+from tidegrid.operators import lags, metrics
 from tidegrid.plans import backtest as bt
 from tidegrid.sources import tables
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidegrid.catalogue.registry import (DAY_FILLED_CHAIN, FILLED_CHAIN, STATION_ROWS, query, r, render, txt,
+from tidegrid.catalogue.registry import (FILLED_CHAIN, STATION_ROWS, query, r, render, txt,
                                          with_)
 from tidegrid.functions import calendar as cal
 from tidegrid.functions import terms
@@ -16,10 +16,10 @@ _OVER = "OVER (PARTITION BY series_id ORDER BY ts)"
 _PI2 = "2 * pi()"
 
 
-def _events(spark, folder):
-    """Stamps of the events table with all calendar columns."""
+def _events(spark, folder, need=None):
+    """Stamps of the events table with their calendar columns."""
     rows = tables.table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return features.with_calendar(rows)
+    return features.with_calendar(rows, need)
 
 
 def _on_events(name, columns: dict[str, str], digits=8):
@@ -30,7 +30,7 @@ def _on_events(name, columns: dict[str, str], digits=8):
 
     @query(name, sql)
     def run(spark, folder):
-        return render(_events(spark, folder).select("event_id", *columns), digits)
+        return render(_events(spark, folder, columns).select("event_id", *columns), digits)
     return run
 
 
@@ -79,7 +79,7 @@ def _on_orders(name, columns):
     def run(spark, folder):
         rows = tables.table(spark, folder, "orders").select(
             "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("ts"))
-        return render(features.with_calendar(rows).select("o_orderkey", *columns))
+        return render(features.with_calendar(rows, columns).select("o_orderkey", *columns))
     return run
 
 
@@ -119,7 +119,7 @@ def m3(spark, folder):
   CAST(warm * h * h AS DOUBLE) AS warm_hour_2 FROM (SELECT event_id, hour(ts) AS h, dayofyear(ts) AS y,
   CAST(month(ts) IN (5, 6, 7, 8, 9) AS INTEGER) AS warm FROM events)""")
 def m11(spark, folder):
-    return _events(spark, folder).withColumns(features.interactions()).select(
+    return _events(spark, folder, ["warm"]).withColumns(features.interactions()).select(
         "event_id", *features.interactions())
 
 
@@ -133,14 +133,15 @@ _WH = {f"{d}_x_{h}": f"CAST(CAST(w = {n} AS INTEGER) * CAST({f} AS INTEGER) AS D
   FROM (SELECT event_id, hour(ts) AS h, dayofweek(ts) + 1 AS w, dayofyear(ts) AS y FROM events)""")
 def m12(spark, folder):
     made = features.formula_terms([*features.WEEKDAY_BY_HOUR, "hour:day_week", "hour:day_year"])
-    return _events(spark, folder).select("event_id", *[c.alias(n) for n, c in made.items()])
+    return _events(spark, folder, features.formula_columns(features.WEEKDAY_BY_HOUR)).select(
+        "event_id", *[c.alias(n) for n, c in made.items()])
 
 
 @query("m13_polynomial_terms", """SELECT event_id, CAST(h AS DOUBLE) AS hour_p1, CAST(h * h AS DOUBLE) AS hour_p2,
   CAST(h * h * h AS DOUBLE) AS hour_p3 FROM (SELECT event_id, hour(ts) AS h FROM events)""")
 def m13(spark, folder):
     made = features.formula_terms(["poly(hour)"])
-    return _events(spark, folder).select("event_id", *[c.alias(n) for n, c in made.items()])
+    return _events(spark, folder, []).select("event_id", *[c.alias(n) for n, c in made.items()])
 
 
 @query("m19_weekday_dummies", "SELECT l_orderkey, l_linenumber, " + ", ".join(

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.catalogue.features import with_station_weather
-from tidegrid.catalogue.joins import DAILY_SPEC, HOURLY_SPEC, ORIGINS
+from tidegrid.catalogue.joins import HOURLY_SPEC, ORIGINS
 from tidegrid.catalogue.registry import DAY_FILLED_CHAIN, FILLED_CHAIN, query, r, render, txt, with_
-from tidegrid.operators import (additive, autoregression, boosted, ets, features, grid, lags, linear, metrics,
-                                smoothing, weather)
+from tidegrid.operators import (additive, autoregression, boosted, ets, features, grid, impute, lags, linear,
+                                metrics, smoothing, weather)
 from tidegrid.plans import published
-from tidegrid.plans.backtest import Backtest, training_rows
+from tidegrid.plans.backtest import Backtest
 from tidegrid.sources import tables
 
 # One-feature regressions on the two-day lag: everything about them is plain SQL.
@@ -68,19 +68,20 @@ def f7(spark, folder):
     return render(linear.residual_forecast(left, HOURLY_SPEC, (1, 0, 0), (0, 0, 0)))
 
 
-def _formula_frame(spark, folder):
-    """Everything any published formula names, on the hourly events."""
-    from tidegrid.operators.lags import LOAD_LAGS, REGRESSION_LAGS
-    temps = grid.bucket_mean(tables.station_readings(spark, folder), "hour", ()).select(
+def _formula_frame(spark, folder, formula):
+    """The columns a published formula names, on the hourly events."""
+    need = features.formula_columns(formula)
+    hours = grid.bucket_mean(tables.station_readings(spark, folder), "hour", ())
+    temps = impute.calendar_fill(grid.complete(hours, "hour", ()), ("hour",), keys=(), skip_null=True).select(
         F.col("ts").alias("date"), F.col("value").alias("temperature"))
-    rows = with_station_weather(spark, folder, weather.join_hourly(tables.filled_events(spark, folder), temps, "date"))
-    mean = rows.agg(F.avg("temperature").alias("_t"))
-    # A handful of temperature hours is missing at small scale: take the grand mean.
-    rows = rows.join(F.broadcast(mean)).withColumn("temperature", F.coalesce("temperature", "_t")).drop("_t")
-    reachable = {n: k for n, k in {**LOAD_LAGS, **REGRESSION_LAGS}.items() if k <= 720}
-    made = features.load_frame(rows, lags=reachable)
-    # Lags beyond the month are zero padded everywhere.
-    return made.withColumns({n: F.lit(0.0) for n in ("w8", "w12", "w16", "w20", "w24")})
+    rows = tables.filled_events(spark, folder)
+    if "temperature" in need:
+        rows = weather.join_hourly(rows, temps, "date")
+    if need & set(features.FINAL_WEATHER):
+        rows = with_station_weather(spark, folder, rows)
+    # Lags beyond the month of data are zero padded everywhere.
+    known = {n: k for n, k in {**lags.LOAD_LAGS, **lags.REGRESSION_LAGS}.items() if n in need}
+    return features.load_frame(rows, lags=known, need=need)
 
 
 @query("f7_seasonal_residual_layer")
@@ -226,7 +227,7 @@ def _plan_query(name, plan_name, **changes):
     @query(name)
     def run(spark, folder):
         plan = published.with_backtest(published.REGRESSIONS[plan_name], **changes)
-        out = published.run_regression(_formula_frame(spark, folder), plan)
+        out = published.run_regression(_formula_frame(spark, folder, plan.formula), plan)
         return render(published.score_days(out, plan.backtest).drop("peaks", "peaks_pred"), 6)
     return run
 
@@ -248,7 +249,7 @@ BOOSTING = boosted.Boosting(rounds=20)
 
 
 def _boosted_table(spark, folder):
-    frame = features.load_frame(tables.filled_shipments(spark, folder), "day", _DAY_LAGS)
+    frame = features.load_frame(tables.filled_shipments(spark, folder), "day", _DAY_LAGS, need=_DAY_FEATURES)
     return boosted.store_features(frame.select("series_id", "ts", "value", *_DAY_FEATURES))
 
 
@@ -302,13 +303,9 @@ def f13(spark, folder):
     return render(autoregression.recursive_forecast(rows, model, scale, used, 62, "hour"), 6)
 
 
-def _additive_rows(spark, folder):
-    return tables.filled_shipments(spark, folder)
-
-
 @query("f14_additive_model")
 def f14(spark, folder):
-    rows = _additive_rows(spark, folder)
+    rows = tables.filled_shipments(spark, folder)
     model = additive.fit_additive(rows, ("yearly", "weekly"))
     out = additive.additive_forecast(rows, model, 40, "day", ("yearly", "weekly"))
     return render(out.select("series_id", "ts", "value", "predicted"), 4)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.catalogue.registry import (DAY_DENSE_CHAIN, DAY_FILLED_CHAIN, DENSE_CHAIN, FILLED_CHAIN,
+from tidegrid.catalogue.registry import (DAY_FILLED_CHAIN, DENSE_CHAIN, FILLED_CHAIN,
                                          STATION_HOURS, STATION_ROWS, query, r, render, txt, with_)
 from tidegrid.operators import grid, impute, lags, weather
 from tidegrid.plans import backtest as bt

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.catalogue.registry import (DAILY, DAY_FILLED_CHAIN, DENSE_CHAIN, EV, FILLED_CHAIN, HOURLY,
-                                         STATION_HOURS, STATION_ROWS, query, r, render, txt, with_)
-from tidegrid.operators import grid, metrics, weather
+from tidegrid.catalogue.registry import (DAILY, DAY_FILLED_CHAIN, FILLED_CHAIN, HOURLY, STATION_HOURS,
+                                         STATION_ROWS, query, r, render, txt, with_)
+from tidegrid.operators import grid, lags, metrics, weather
 from tidegrid.session import fresh_path
 from tidegrid.sources import files, sinks, tables
 
@@ -62,13 +62,16 @@ def s4(spark, folder):
     return render(back.select("station", "ts", "tmpf"))
 
 
-@query("s5_station_catalogue", """SELECT n_name AS code, r_name AS network FROM nation
-  JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'""")
+@query("s5_station_catalogue", """SELECT n_name AS code, r_name AS network, count(*) AS customers FROM customer
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'
+  GROUP BY 1, 2""")
 def s5(spark, folder):
     catalogue = tables.table(spark, folder, "nation").join(
-        tables.table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return files.stations_of(catalogue.select(F.col("n_name").alias("code"),
-                                              F.col("r_name").alias("network")), "ASIA")
+        tables.table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "n_nationkey", F.col("n_name").alias("code"), F.col("r_name").alias("network"))
+    used = tables.table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
+    return files.stations_of(catalogue, "ASIA").join(used, F.col("n_nationkey") == F.col("c_nationkey")).select(
+        "code", "network", "customers")
 
 
 @query("s6_hourly_grid", with_(HOURLY) + f"""SELECT series_id, {txt('ts')} AS ts FROM (
@@ -124,8 +127,7 @@ _NAIVE_WEEK = """naive AS (SELECT series_id, ts, value AS actual, lag(value, 7)
 
 def weekly_naive(spark, folder):
     """Daily shipments against the value one week before."""
-    from tidegrid.operators.lags import add_lags
-    return add_lags(tables.filled_shipments(spark, folder), {"predicted": 7}, "day", pad=None).select(
+    return lags.add_lags(tables.filled_shipments(spark, folder), {"predicted": 7}, "day", pad=None).select(
         "series_id", "ts", F.col("value").alias("actual"), "predicted").where("predicted is not null")
 
 
@@ -190,10 +192,10 @@ def k8(spark, folder):
 
 
 @query("k9_raw_slice_feed", with_(DAILY) + f"""SELECT series_id, {txt('CAST(ts AS TIMESTAMP)')} AS ts,
-  {r('value', 6)} AS value FROM (SELECT *, min(ts) OVER () AS t0 FROM daily)
+  {r('value')} AS value FROM (SELECT *, min(ts) OVER (PARTITION BY series_id) AS t0 FROM daily)
   WHERE ts < t0 + INTERVAL 60 DAY""")
 def k9(spark, folder):
-    rows = tables.shipment_readings(spark, folder)
-    start = rows.agg(F.min("ts").alias("t0"))
-    first = rows.join(F.broadcast(start), F.col("ts") < F.col("t0") + F.expr("interval 60 day"))
-    return render(grid.bucket_mean(first, "day"), 6)
+    rows = tables.daily_shipments(spark, folder)
+    start = grid.span(rows).select("series_id", "first_ts")
+    first = rows.join(start, "series_id").where(F.col("ts") < F.col("first_ts") + F.expr("interval 60 day"))
+    return render(first.drop("first_ts").orderBy("series_id", "ts"))

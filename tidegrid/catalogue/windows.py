@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegrid.catalogue.registry import (DAY_FILLED_CHAIN, DENSE_CHAIN, EV, FILLED_CHAIN, STATION_ROWS, query, r,
+from tidegrid.catalogue.registry import (DAY_FILLED_CHAIN, DENSE_CHAIN, FILLED_CHAIN, STATION_ROWS, query, r,
                                          render, txt, with_)
 from tidegrid.operators import grid, impute, lags, weather
 from tidegrid.sources import tables

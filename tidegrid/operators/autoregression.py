@@ -29,7 +29,7 @@ def fit_autoregression(df: DataFrame, lags, step: str, regressor=None, keys=("se
 
 
 def recursive_forecast(df: DataFrame, model, scale: DataFrame, lags, horizon: int, step: str,
-                       keys=("series_id",), cut_every: int = 16) -> DataFrame:
+                       keys=("series_id",), cut_every: int = 8) -> DataFrame:
     """(keys, step, ts, predicted). The state is one row per series: its last
     ``max(lags)`` values, bounded by the widest lag. Every step scores all series
     and shifts the state; the plan is cut by a reliable checkpoint now and then."""

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.operators.blocks import epoch
-from tidegrid.operators.linear import residual_forecast
-from tidegrid.plans.backtest import Backtest, horizon_rows, origin_bounds, training_rows
+from tidegrid.operators.linear import shared_residual_forecast
+from tidegrid.plans.backtest import Backtest, horizon_rows, origin_bounds
 from tidegrid.session import fresh_path, shared_folder
 
 SERIES_FEATURES = ("series_mean", "series_sd")
@@ -157,8 +157,7 @@ def boosted_backtest(table: DataFrame, features, spec: Backtest, boosting: Boost
             *keys, "origin", "step", "ts", F.col("value").alias("actual"), F.col("prediction").alias("base"))
         if residual_order is not None:
             left = scored.select(*keys, "ts", (F.col("value") - F.col("prediction")).alias("residual"))
-            windows = training_rows(left, group, keys).where(epoch("origin").between(first, last))
-            layer = residual_forecast(windows, group, residual_order, residual_seasonal, period, keys)
+            layer = shared_residual_forecast(left, group, residual_order, residual_seasonal, period, keys)
             forecast = forecast.join(layer, [*keys, "origin", "step"])
         else:
             forecast = forecast.withColumn("residual", F.lit(0.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,11 +68,12 @@ FORMULAS = {
 }
 
 
-def with_calendar(df: DataFrame) -> DataFrame:
-    """Calendar parts, then everything derived from them, as two projections."""
+def with_calendar(df: DataFrame, need=None) -> DataFrame:
+    """Calendar parts, then everything derived from them, as two projections.
+    ``need`` limits the derived columns to those that are used."""
     parts = df.withColumns(calendar_parts())
     sin12, cos12 = shifted_hour(12)
-    return parts.withColumns({
+    derived = {
         **hour_flags(), **weekday_flags(), **season_flags(),
         "holiday": is_holiday(), "cca": tariff_flag(),
         "wday": F.when(F.col("day_week").isin(2, 3, 4, 5), 1).otherwise(0),
@@ -84,7 +87,10 @@ def with_calendar(df: DataFrame) -> DataFrame:
         "month_half_sin": half_sine("month", 12.0),
         "day_year_half_sin": half_sine("day_year", 365.25),
         **powers("hour", 2, 3), **powers("day_week", 2, 3), **powers("day_year", 2, 3),
-    })
+    }
+    if need is not None:
+        derived = {n: c for n, c in derived.items() if n in set(need)}
+    return parts.withColumns(derived) if derived else parts
 
 
 def interactions() -> dict:
@@ -108,15 +114,16 @@ def weather_powers(columns=POWERED_WEATHER) -> dict:
     return out
 
 
-def load_frame(df: DataFrame, step: str = "hour", lags=LOAD_LAGS, keys=("series_id",)) -> DataFrame:
+def load_frame(df: DataFrame, step: str = "hour", lags=LOAD_LAGS, keys=("series_id",), need=None) -> DataFrame:
     """Lags, trend and calendar columns of a complete series table."""
-    return with_calendar(step_index(add_lags(df, dict(lags), step, keys=keys), step, keys))
+    lagged = add_lags(df, dict(lags), step, keys=keys) if lags else df
+    return with_calendar(step_index(lagged, step, keys), need)
 
 
 def final_frame(df: DataFrame, keys=("series_id",)) -> DataFrame:
     """The 90 inputs of the final model plus keys, stamp and value. The weather
     columns must be joined already."""
-    wide = load_frame(df, keys=keys).withColumns({**lag_powers(), **weather_powers()})
+    wide = load_frame(df, keys=keys, need=FINAL_FEATURES).withColumns({**lag_powers(), **weather_powers()})
     return wide.select(*keys, "ts", "value", *FINAL_FEATURES)
 
 
@@ -139,6 +146,12 @@ def term(name: str):
     return F.col(name).cast("double")
 
 
+def formula_columns(formula) -> set[str]:
+    """Base columns a formula reads."""
+    names = FORMULAS[formula] if isinstance(formula, str) else formula
+    return {re.sub(r"^poly\(|\)$|\^\d+$", "", part) for name in names for part in name.split(":")}
+
+
 def formula_terms(formula) -> dict:
     """{column name: expression} of a formula's terms."""
     out = {}

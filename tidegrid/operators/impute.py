@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.stats import any_missing, missing_cells, strict_mean
-from tidegrid.operators.blocks import BLOCK, DAY, epoch
+from tidegrid.operators.blocks import BLOCK, HOUR, epoch
 
 CALENDAR = ("month", "day", "hour")
 
@@ -77,7 +77,7 @@ def rows_with_missing(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def moving_average_fill(df: DataFrame, values, key: str = "series_id",
-                        tie_break=(), block_seconds: int = 7 * DAY) -> DataFrame:
+                        tie_break=(), block_seconds: int = HOUR) -> DataFrame:
     """Fill nulls by a linearly weighted mean of near neighbours, counted in rows.
 
     The radius starts at one row and grows until two non-null values lie inside;
@@ -86,7 +86,8 @@ def moving_average_fill(df: DataFrame, values, key: str = "series_id",
 
     Neighbours can be any number of rows away, so no fixed halo is enough: every
     time block is scanned on its own, and the two nearest values beyond its edges
-    come from a small table with one row per block.
+    come from a table with one row per block. Only that table is windowed per
+    series; it is bounded by the calendar, not by the number of readings.
     """
     order = ["ts", *tie_break]
     blocked = df.withColumn(BLOCK, F.floor(epoch() / block_seconds))

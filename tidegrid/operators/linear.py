@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidegrid.functions.solve import seasonal_arma_forecast, solve_centred
 from tidegrid.operators.blocks import epoch, spread
-from tidegrid.plans.backtest import Backtest, horizon_rows, origin_bounds, origin_chunks, training_rows
+from tidegrid.plans.backtest import Backtest, horizon_rows, origin_chunks, training_rows
 
 
 def chunk_size(spec: Backtest) -> int:
@@ -210,6 +210,32 @@ def residual_forecast(residuals: DataFrame, spec: Backtest, order=(1, 0, 1), sea
         *keys, F.timestamp_seconds("_o").alias("origin"), "step", "residual")
 
 
+def shared_residual_forecast(residuals: DataFrame, spec: Backtest, order=(1, 0, 1), seasonal=(1, 0, 0),
+                             period: int = 24, keys=("series_id",), column: str = "residual",
+                             per_chunk: int | None = None) -> DataFrame:
+    """The same forecast where all origins share one residual per row, as they do
+    under one model: rows go once per chunk of origins instead of once per origin."""
+    schema = T.StructType([*_key_fields(residuals, keys), T.StructField("_o", T.LongType()),
+                           T.StructField("step", T.IntegerType()), T.StructField("residual", T.DoubleType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = _Chunk(pdf, [], column, spec)
+        out = []
+        for o in c.origins:
+            a, b = c.window(o)
+            out.append(pd.DataFrame({
+                "_o": o, "step": np.arange(1, spec.horizon + 1, dtype=np.int32),
+                "residual": seasonal_arma_forecast(c.y[a:b], spec.horizon, order, seasonal, period)}))
+        result = pd.concat(out) if out else pd.DataFrame({f.name: [] for f in schema.fields[len(keys):]})
+        for k in reversed(list(keys)):
+            result.insert(0, k, pdf[k].iloc[0])
+        return result
+
+    rows = _with_seconds(residuals, spec, per_chunk or chunk_size(spec), keys, [column])
+    return spread(rows, *keys, "_chunk").groupBy(*keys, "_chunk").applyInPandas(run, schema).select(
+        *keys, F.timestamp_seconds("_o").alias("origin"), "step", "residual")
+
+
 def add_residual_layer(base: DataFrame, layer: DataFrame, keys=("series_id",)) -> DataFrame:
     """Base forecast plus residual forecast of the same origin and step."""
     return (base.join(layer, [*keys, "origin", "step"])
