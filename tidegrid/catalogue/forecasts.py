@@ -263,10 +263,9 @@ def f3(spark, folder):
 def f4(spark, folder):
     table = _boosted_table(spark, folder)
     first = boosted.refit_origins(table, BOOSTED_SPEC, 4)[0][0]
-    _, errors = boosted.fit_window(table, _DAY_FEATURES, BOOSTED_SPEC, first, BOOSTING)
-    keep = boosted.best_round(errors, BOOSTING.patience)
+    fitted = boosted.fit_window(table, _DAY_FEATURES, BOOSTED_SPEC, first, BOOSTING)
     # At most ``rounds`` rows: the error of each boosting round.
-    rows = [(i, float(e), int(i == keep)) for i, e in enumerate(errors, 1)]
+    rows = [(i, float(e), int(i == fitted.rounds)) for i, e in enumerate(fitted.errors, 1)]
     return spark.createDataFrame(rows, "round int, valid_error double, kept int")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -42,14 +43,40 @@ class Boosting:
     use_best_round: bool = True
     seed: int = 42
 
-    def estimator(self, rounds: int, train_rows: int) -> GBTRegressor:
+    def estimator(self, train_rows: int) -> GBTRegressor:
         return GBTRegressor(
-            labelCol="value", featuresCol="features", predictionCol="prediction", maxIter=rounds,
+            labelCol="value", featuresCol="features", predictionCol="prediction", maxIter=self.rounds,
             stepSize=self.rate, maxDepth=self.depth, subsamplingRate=self.row_share,
             featureSubsetStrategy=str(self.column_share), minInstancesPerNode=self.min_rows,
             minInfoGain=2 * self.gamma / max(train_rows, 1), seed=self.seed, maxBins=64)
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """A model, its error per round on the validation tail, and the rounds in use."""
+    model: GBTRegressionModel
+    errors: list[float]
+    rounds: int
+
+    def predict(self, assembled: DataFrame) -> DataFrame:
+        """Adds ``prediction`` from the rounds in use. Leaving out later trees gives
+        exactly the shorter model, without a second fit."""
+        if self.rounds >= self.model.getNumTrees:
+            return self.model.transform(assembled)
+        out, total = assembled, F.lit(0.0)
+        weights = self.model.treeWeights
+        for i, tree in enumerate(self.model.trees[:self.rounds]):
+            out = tree.setPredictionCol(f"_tree{i}").transform(out)
+            total = total + F.lit(weights[i]) * F.col(f"_tree{i}")
+        return out.select(*assembled.columns, total.alias("prediction"))
+
+    def importances(self) -> list[float]:
+        """Gain share per input over the trees in use."""
+        shares = np.array([t.featureImportances.toArray() for t in self.model.trees[:self.rounds]])
+        mean = shares.mean(axis=0)
+        return (mean / max(mean.sum(), 1e-300)).tolist()
+
+
 def best_round(errors, patience: int) -> int:
     """Rounds to keep: the best one before ``patience`` rounds without improvement."""
     best = 0
@@ -91,11 +118,9 @@ def _checkpoint_folder(spark: SparkSession) -> None:
 
 
 def fit_window(table: DataFrame, features, spec: Backtest, origin: int, boosting: Boosting,
-               keys=("series_id",)) -> tuple[GBTRegressionModel, list[float]]:
-    """Model of one origin (epoch seconds) and its error per round on the
-    validation tail (empty without a tail)."""
-    spark = table.sparkSession
-    _checkpoint_folder(spark)
+               keys=("series_id",)) -> Fitted:
+    """Model of one origin (epoch seconds), stopped early on its validation tail."""
+    _checkpoint_folder(table.sparkSession)
     s = spec.step_seconds
     start, end = origin - (spec.score_from + spec.train - 1) * s, origin - spec.score_from * s
     window = _between(table.select(*keys, "ts", "value", *features), start, end)
@@ -104,16 +129,12 @@ def fit_window(table: DataFrame, features, spec: Backtest, origin: int, boosting
     rows = _assembled(_with_series_scale(window, head, keys), features).select("ts", "features", "value").persist()
     try:
         fit_rows = _between(rows, start, end - spec.valid * s)
-        n = fit_rows.count()
-        model = boosting.estimator(boosting.rounds, n).fit(fit_rows)
+        model = boosting.estimator(fit_rows.count()).fit(fit_rows)
         if not spec.valid:
-            return model, []
+            return Fitted(model, [], boosting.rounds)
         errors = list(model.evaluateEachIteration(_between(rows, end - spec.valid * s + s, end), "squared"))
-        keep = best_round(errors, boosting.patience)
-        if boosting.use_best_round and keep < boosting.rounds:
-            # Same rows and seed: the shorter model repeats the first trees.
-            model = boosting.estimator(keep, n).fit(fit_rows)
-        return model, errors
+        keep = best_round(errors, boosting.patience) if boosting.use_best_round else boosting.rounds
+        return Fitted(model, errors, keep)
     finally:
         rows.unpersist()
 
@@ -133,7 +154,7 @@ def refit_origins(table: DataFrame, spec: Backtest, refit_every: int, keys=("ser
 
 def boosted_backtest(table: DataFrame, features, spec: Backtest, boosting: Boosting = Boosting(),
                      refit_every: int = 7, residual_order=None, residual_seasonal=(1, 0, 0), period: int = 24,
-                     keys=("series_id",)) -> tuple[DataFrame, list[GBTRegressionModel]]:
+                     keys=("series_id",)) -> tuple[DataFrame, list[Fitted]]:
     """Forecasts of all origins (keys, origin, step, ts, actual, base, residual,
     predicted) and the fitted models.
 
@@ -143,7 +164,7 @@ def boosted_backtest(table: DataFrame, features, spec: Backtest, boosting: Boost
     parts, models = [], []
     s = spec.step_seconds
     for first, last in refit_origins(table, spec, refit_every, keys):
-        model, _ = fit_window(table, features, spec, first, boosting, keys)
+        model = fit_window(table, features, spec, first, boosting, keys)
         models.append(model)
         group = Backtest(train=spec.train, horizon=spec.horizon, score_from=spec.score_from, every=spec.every,
                          valid=spec.valid, step=spec.step)
@@ -151,7 +172,7 @@ def boosted_backtest(table: DataFrame, features, spec: Backtest, boosting: Boost
         end = last + (spec.horizon - spec.score_from) * s
         rows = _between(table.select(*keys, "ts", "value", *features), start, end)
         head = _between(rows, start, first - (spec.score_from + spec.valid) * s)
-        scored = model.transform(_assembled(_with_series_scale(rows, head, keys), features)).select(
+        scored = model.predict(_assembled(_with_series_scale(rows, head, keys), features)).select(
             *keys, "ts", "value", "prediction")
         forecast = horizon_rows(scored, group, keys).where(epoch("origin").between(first, last)).select(
             *keys, "origin", "step", "ts", F.col("value").alias("actual"), F.col("prediction").alias("base"))
@@ -170,6 +191,6 @@ def boosted_backtest(table: DataFrame, features, spec: Backtest, boosting: Boost
 def importance(spark: SparkSession, models, features) -> DataFrame:
     """(feature, importance): gain share, averaged over the models; one row per feature."""
     names = [*features, *SERIES_FEATURES]
-    rows = [(i, name, float(m.featureImportances[j])) for i, m in enumerate(models) for j, name in enumerate(names)]
-    return (spark.createDataFrame(rows, "model int, feature string, share double")
+    rows = [(name, share) for m in models for name, share in zip(names, m.importances())]
+    return (spark.createDataFrame(rows, "feature string, share double")
             .groupBy("feature").agg(F.avg("share").alias("importance")).orderBy(F.desc("importance")))
