@@ -40,14 +40,14 @@ def lag_set(plain: int, seasonal: int, period: int) -> list[int]:
 
 
 def stable(phi: np.ndarray, lags, limit: float = 0.999) -> np.ndarray:
-    """Pull the roots of an autoregression inside the unit circle if any is outside."""
+    """Pull the roots of an autoregression inside the unit circle if one is beyond it."""
     if not len(lags):
         return phi
     companion = np.zeros((max(lags), max(lags)))
     companion[0, np.array(lags) - 1] = phi
     companion[1:, :-1] += np.eye(max(lags) - 1)
     radius = np.abs(np.linalg.eigvals(companion)).max()
-    return phi if radius <= limit else phi * (limit / radius) ** np.array(lags, dtype=float)
+    return phi if radius <= 1 + 1e-9 else phi * (limit / radius) ** np.array(lags, dtype=float)
 
 
 def seasonal_arma_forecast(series: np.ndarray, horizon: int, order=(1, 0, 1), seasonal=(1, 0, 0),

@@ -24,12 +24,15 @@ def epoch(ts: str | Column = "ts") -> Column:
     return F.unix_seconds(F.col(ts) if isinstance(ts, str) else ts)
 
 
-def with_halo(df: DataFrame, step: str, before: int = 0, after: int = 0,
+def with_halo(df: DataFrame, step: str, keys, before: int = 0, after: int = 0,
               block: int | None = None, ts: str = "ts") -> DataFrame:
     """Copy rows into every block whose frame reaches them.
 
     ``before`` and ``after`` count steps a frame looks back and ahead. Adds
     ``_block`` and ``_core`` (true for the one copy that belongs to its block).
+
+    The shuffle is asked for: rows that already lie together by key alone would
+    satisfy a window by (key, block), and a long series would stay in one task.
     """
     block = block or max(1024, 2 * (before + after))
     width = block * STEP_SECONDS[step]
@@ -37,7 +40,8 @@ def with_halo(df: DataFrame, step: str, before: int = 0, after: int = 0,
     first = F.floor((s - F.lit(after * STEP_SECONDS[step])) / width)
     last = F.floor((s + F.lit(before * STEP_SECONDS[step])) / width)
     return (df.withColumn(BLOCK, F.explode(F.sequence(first, last)))
-              .withColumn(CORE, F.col(BLOCK) == F.floor(s / width)))
+              .withColumn(CORE, F.col(BLOCK) == F.floor(s / width))
+              .repartition(*keys, BLOCK))
 
 
 def block_window(*keys: str, ts: str = "ts") -> Window:
@@ -48,10 +52,10 @@ def core_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col(CORE)).drop(BLOCK, CORE)
 
 
-def add_framed(df: DataFrame, columns: dict[str, Column], step: str, before: int = 0,
+def add_framed(df: DataFrame, columns: dict[str, Column], step: str, keys, before: int = 0,
                after: int = 0, block: int | None = None) -> DataFrame:
     """Evaluate window columns over haloed blocks and keep each row once."""
-    return core_rows(with_halo(df, step, before, after, block).withColumns(columns))
+    return core_rows(with_halo(df, step, keys, before, after, block).withColumns(columns))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

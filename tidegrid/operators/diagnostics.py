@@ -28,7 +28,8 @@ def autocovariance_sums(df: DataFrame, max_lag: int, step: str, value: str = "va
     array. Lags look back over haloed blocks; the sums combine before the shuffle."""
     w = block_window(*keys)
     x = centred(df, value, keys).select(*keys, "ts", "_x")
-    lagged = add_framed(x, {f"_l{k}": F.lag("_x", k).over(w) for k in range(1, max_lag + 1)}, step, before=max_lag)
+    lagged = add_framed(x, {f"_l{k}": F.lag("_x", k).over(w) for k in range(1, max_lag + 1)}, step, keys,
+                        before=max_lag)
     sums = [F.sum(F.col("_x") * F.col("_x"))] + [
         F.coalesce(F.sum(F.col("_x") * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, max_lag + 1)]
     return lagged.groupBy(*keys).agg(F.count("_x").alias("n"), F.array(*sums).alias("sums"))
@@ -70,7 +71,7 @@ def cumulative(df: DataFrame, column: str, name: str, step: str, keys=("series_i
     """Running sum over a whole series in two levels: inside time blocks, plus the
     totals of the earlier blocks (one row per block)."""
     width = block * STEP_SECONDS[step]
-    blocked = df.withColumn(BLOCK, F.floor(epoch() / width))
+    blocked = df.withColumn(BLOCK, F.floor(epoch() / width)).repartition(*keys, BLOCK)
     inside = block_window(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = blocked.groupBy(*keys, BLOCK).agg(F.sum(column).alias("_total")).withColumn(
         "_before", F.coalesce(F.sum("_total").over(Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(

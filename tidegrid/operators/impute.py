@@ -90,7 +90,7 @@ def moving_average_fill(df: DataFrame, values, key: str = "series_id",
     series; it is bounded by the calendar, not by the number of readings.
     """
     order = ["ts", *tie_break]
-    blocked = df.withColumn(BLOCK, F.floor(epoch() / block_seconds))
+    blocked = df.withColumn(BLOCK, F.floor(epoch() / block_seconds)).repartition(key, BLOCK)
     inside = Window.partitionBy(key, BLOCK).orderBy(*order)
     before_row = inside.rowsBetween(Window.unboundedPreceding, -1)
     after_row = inside.rowsBetween(1, Window.unboundedFollowing)

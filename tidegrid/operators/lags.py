@@ -23,7 +23,7 @@ def add_lags(df: DataFrame, lags: dict[str, int], step: str, value: str = "value
     a series get ``pad``. All lags share one shuffle."""
     w = block_window(*keys)
     return add_framed(df, {n: F.lag(value, k, pad).over(w) for n, k in lags.items()},
-                      step, before=max(lags.values()), block=block)
+                      step, keys, before=max(lags.values()), block=block)
 
 
 def lag_by_join(df: DataFrame, name: str, steps: int, step: str, value: str = "value",
@@ -43,7 +43,7 @@ def add_differences(df: DataFrame, lags: dict[str, int], step: str, value: str =
     """``value - lag(value)``, null where the lag does not exist."""
     w = block_window(*keys)
     return add_framed(df, {n: F.col(value) - F.lag(value, k).over(w) for n, k in lags.items()},
-                      step, before=max(lags.values()))
+                      step, keys, before=max(lags.values()))
 
 
 def trailing_mean(df: DataFrame, name: str, order: int, step: str, value: str = "value",
@@ -51,7 +51,7 @@ def trailing_mean(df: DataFrame, name: str, order: int, step: str, value: str =
     """Mean of the last ``order`` rows; null until the frame is full."""
     w = block_window(*keys).rowsBetween(1 - order, Window.currentRow)
     mean = F.when(F.count(value).over(w) == order, F.avg(value).over(w))
-    return add_framed(df, {name: mean}, step, before=order - 1)
+    return add_framed(df, {name: mean}, step, keys, before=order - 1)
 
 
 def centred_mean(df: DataFrame, name: str, order: int, step: str, value: str = "value",
@@ -65,4 +65,4 @@ def centred_mean(df: DataFrame, name: str, order: int, step: str, value: str = "
     if order % 2 == 0:
         total = total - (F.lag(value, half).over(w) + F.lead(value, half).over(w)) / 2
     mean = F.when(F.count(value).over(full) == 2 * half + 1, total / order)
-    return add_framed(df, {name: mean}, step, before=half, after=half)
+    return add_framed(df, {name: mean}, step, keys, before=half, after=half)

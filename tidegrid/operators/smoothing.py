@@ -51,7 +51,7 @@ def smoothed_sums(df: DataFrame, alpha: float, step: str, keys=("series_id",),
     width = block * STEP_SECONDS[step]
     age = (epoch() - F.col(BLOCK) * width) / STEP_SECONDS[step]
     running = block_window(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spread = with_halo(df, step, before=halo, block=block).withColumn("_age", age)
+    spread = with_halo(df, step, keys, before=halo, block=block).withColumn("_age", age)
     total = F.sum(F.lit(alpha) * F.col(value) * F.exp(F.col("_age") * decay)).over(running)
     return core_rows(spread.withColumn("smoothed", total * F.exp(-F.col("_age") * decay)).drop("_age"))
 
@@ -73,7 +73,7 @@ def smoothing_levels(df: DataFrame, alpha: float, step: str, keys=("series_id",)
     level = restarted_level(F.col("smoothed"), F.col("_y0"), F.lit(alpha) * F.col("_y0"), age, alpha)
     levels = sums.join(starts, list(keys)).withColumn("level", level).drop("smoothed", "_y0", "_t0")
     w = block_window(*keys)
-    before = with_halo(levels, step, before=1).withColumn("error", F.col("value") - F.lag("level").over(w))
+    before = with_halo(levels, step, keys, before=1).withColumn("error", F.col("value") - F.lag("level").over(w))
     return core_rows(before)
 
 
