@@ -19,9 +19,7 @@ _IN_TRAIN = "f.series_id = o.series_id AND f.ts BETWEEN o.train_start AND o.trai
 def b1(spark, folder):
     years = tables.table(spark, folder, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(
         F.count(F.lit(1)).alias("orders_in_year"))
-    start = F.unix_seconds(F.make_timestamp(F.col("year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
-    base = F.unix_seconds(F.make_timestamp(F.lit(1995), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
-    return years.select("year", "orders_in_year", ((start - base) / 3600 + 1).cast("long").alias("anchor"))
+    return years.select("year", "orders_in_year", bt.year_anchor(F.col("year"), 1995).alias("anchor"))
 
 
 @query("b2_origin_list", with_(FILLED_CHAIN, ORIGINS) + f"""SELECT series_id, {txt('origin')} AS origin,

@@ -315,3 +315,36 @@ def f15(spark, folder):
     rows = tables.filled_events(spark, folder)
     model = additive.fit_additive(rows, ("weekly", "daily"))
     return render(additive.additive_components(rows, model, ("weekly", "daily")), 4)
+
+
+# The boosted set-ups on the hourly table: windows of two weeks, one refit.
+HOURLY_BOOSTED = Backtest(train=14 * 24 + 8, valid=40, first="2024-01-27")
+HOURLY_BOOSTING = boosted.Boosting(rounds=8)
+
+
+def _hourly_boosted(frame, used, **options):
+    table = boosted.store_features(frame)
+    out, _ = boosted.boosted_backtest(table, used, HOURLY_BOOSTED, HOURLY_BOOSTING, refit_every=7, **options)
+    return render(published.score_days(out, HOURLY_BOOSTED, denominator="predicted").drop("peaks", "peaks_pred"), 6)
+
+
+@query("backtest_final_model")
+def final_model(spark, folder):
+    """All 90 inputs, boosted trees, seasonal residual layer."""
+    rows = with_station_weather(spark, folder, tables.filled_events(spark, folder))
+    return _hourly_boosted(features.final_frame(rows), features.FINAL_FEATURES,
+                           residual_order=(1, 0, 1), residual_seasonal=(1, 0, 0))
+
+
+@query("backtest_boosted_weekday_columns")
+def early_model(spark, folder):
+    rows = with_station_weather(spark, folder, tables.filled_events(spark, folder))
+    return _hourly_boosted(features.early_frame(rows), features.EARLY_FEATURES)
+
+
+@query("backtest_boosted_dummies")
+def dummy_model(spark, folder):
+    """0/1 columns and the highs of the day before."""
+    rows = with_station_weather(spark, folder, tables.filled_events(spark, folder))
+    frame, used = features.dummy_frame(rows.withColumn("CQT_High", F.col("WJF_High")))
+    return _hourly_boosted(frame, used)

@@ -8,7 +8,7 @@ from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.calendar import (calendar_parts, hour_flags, is_holiday, season_flags,
+from tidegrid.functions.calendar import (calendar_parts, hour_flags, is_holiday, one_hot, season_flags,
                                          tariff_flag, weekday_flags)
 from tidegrid.functions.terms import (half_sine, hour_fourier, month_fourier, monthday_fourier,
                                       power, powers, product, shifted_hour, weekday_fourier,
@@ -35,6 +35,22 @@ FINAL_FEATURES = (
     "holiday", "trend",
 )
 
+# Inputs of the two-year boosted model, and of its variant with 0/1
+# columns and the highs of the day before.
+EARLY_FEATURES = (
+    "l2", "l3", "l4", "l5", "l6", "l7", "l14", "l21", "w4", "w8", "w12", "w16", "w20", "w24", "l2_2", "l2_3",
+    "LAX_High", "lax_low", "RIV_High", "riv_low", "TRM_High", "trm_Low",
+    "LAX_High_2", "lax_low_2", "RIV_High_2", "riv_low_2",
+    "holiday", "hour", "hour_2", "hour_3", "hour_sin", "hour_cos",
+    *[f"day_week_{k}" for k in range(1, 8)], "day_week_squared", "day_week_sin1", "day_week_cos1", "is_sun_to_thu",
+    "month", "day_month", "day_year", "day_year_2", "day_year_3", "day_year_sin1", "day_year_cos1",
+    "hour_day_year", "hour_day_year_2", "quarter", "year", "warm", "warm_hour", "warm_hour_2", "trend", "cca",
+)
+HIGH_COLUMNS = ("LAX_High", "CQT_High", "RIV_High", "TRM_High", "WJF_High")
+DUMMY_LAGS = {"d2": 48, "d3": 72, "d4": 96, "d5": 120, "d6": 144, "w1": 168, "w2": 336, "w3": 504,
+              "m1": 672, "m2": 1344, "m3": 2016, "m4": 2688, "m5": 3360, "m6": 4032}
+DUMMY_LEVELS = {"hour": range(24), "day_week": range(1, 8), "month": range(1, 13), "season": range(1, 5)}
+
 # Terms of the regression formulas. ``a:b`` is a product, ``a^n`` a
 # power, ``poly(a)`` the powers 1 to 3, which span the same space as orthogonal
 # polynomials of degree 3.
@@ -127,6 +143,35 @@ def final_frame(df: DataFrame, keys=("series_id",)) -> DataFrame:
     return wide.select(*keys, "ts", "value", *FINAL_FEATURES)
 
 
+def early_frame(df: DataFrame, keys=("series_id",)) -> DataFrame:
+    """Inputs of the two-year boosted model; its weather columns must be joined."""
+    lags = {n: k for n, k in LOAD_LAGS.items() if n in EARLY_FEATURES}
+    made = load_frame(df, lags=lags, keys=keys, need=EARLY_FEATURES)
+    # One column per weekday replaces the weekday's powers of the same name.
+    wide = made.withColumn("day_week_squared", power("day_week", 2)).withColumns({
+        **one_hot("day_week", range(1, 8)), **powers("l2", 2, 3), **interactions(),
+        **{f"{c}_2": power(c, 2) for c in POWERED_WEATHER}})
+    return wide.select(*keys, "ts", "value", *EARLY_FEATURES)
+
+
+def dummy_frame(df: DataFrame, keys=("series_id",)) -> tuple[DataFrame, list[str]]:
+    """Frame and input list of the variant with 0/1 columns: load lags, the highs of
+    the day before (known when forecasting), and one column per hour, weekday,
+    month, season and year day; the 366 year days are one sparse vector."""
+    lagged = add_lags(df, DUMMY_LAGS, "hour", keys=keys)
+    for c in HIGH_COLUMNS:
+        lagged = add_lags(lagged, {f"{c}_d1": 24}, "hour", value=c, keys=keys)
+    made = with_calendar(step_index(lagged, "hour", keys), ["season", "holiday", "is_sun_to_thu", "cca"])
+    levels = {}
+    for c, values in DUMMY_LEVELS.items():
+        levels.update(one_hot(c, values))
+    wide = encode_sparse(made.withColumns(levels).withColumn("day_year", F.col("day_year").cast("double")),
+                         "day_year", "day_year_hot", 367)
+    names = [*DUMMY_LAGS, *[f"{c}_d1" for c in HIGH_COLUMNS], *levels, "day_year_hot",
+             "holiday", "is_sun_to_thu", "trend", "cca"]
+    return wide.select(*keys, "ts", "value", *names), names
+
+
 def feature_list(df: DataFrame, exclude) -> list[str]:
     """All columns but the excluded ones, in table order."""
     drop = set(exclude)

@@ -50,11 +50,13 @@ PUBLISHED = {
 }
 
 
-def year_anchor(year: int, first_year: int = 2014, step: str = "hour") -> Column:
+def year_anchor(year: int | Column, first_year: int = 2014, step: str = "hour") -> Column:
     """Row number (from 1) of the first step of ``year`` on a grid that starts
     with ``first_year``."""
-    start = F.make_timestamp(F.lit(first_year), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    at = F.make_timestamp(F.lit(year), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    def new_year(y) -> Column:
+        return F.make_timestamp(y if isinstance(y, Column) else F.lit(y), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+
+    start, at = new_year(first_year), new_year(year)
     return ((epoch(at) - epoch(start)) / STEP_SECONDS[step] + 1).cast("long")
 
 
