@@ -158,9 +158,7 @@ def dummy_frame(df: DataFrame, keys=("series_id",)) -> tuple[DataFrame, list[str
     """Frame and input list of the variant with 0/1 columns: load lags, the highs of
     the day before (known when forecasting), and one column per hour, weekday,
     month, season and year day; the 366 year days are one sparse vector."""
-    lagged = add_lags(df, DUMMY_LAGS, "hour", keys=keys)
-    for c in HIGH_COLUMNS:
-        lagged = add_lags(lagged, {f"{c}_d1": 24}, "hour", value=c, keys=keys)
+    lagged = add_lags(df, {**DUMMY_LAGS, **{f"{c}_d1": (c, 24) for c in HIGH_COLUMNS}}, "hour", keys=keys)
     made = with_calendar(step_index(lagged, "hour", keys), ["season", "holiday", "is_sun_to_thu", "cca"])
     levels = {}
     for c, values in DUMMY_LEVELS.items():

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.stats import strict_mean
-from tidegrid.operators.blocks import STEP_SECONDS, epoch
+from tidegrid.operators.blocks import STEP_SECONDS, epoch, spread
 
 
 def collapse_duplicates(df: DataFrame, keys=("series_id", "ts"), value: str = "value",
@@ -33,23 +33,33 @@ def span(df: DataFrame, keys=("series_id",)) -> DataFrame:
     return df.groupBy(*keys).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def step_interval(step: str) -> Column:
-    return F.expr(f"interval 1 {step}")
+CHUNK = 1024  # steps made by one task at a time
+
+
+def _chunked(bounds: DataFrame, seconds: int, keep) -> DataFrame:
+    """(keep, _a, _b): the range of each row cut into stretches of CHUNK steps.
+
+    A grid is far larger than the bounds it comes from. Exploded in place, it would
+    be made by the few tasks that hold the bounds; the stretches are spread first.
+    """
+    width = CHUNK * seconds
+    cut = bounds.select(*keep, epoch("last_ts").alias("_last"), F.explode(F.sequence(
+        epoch("first_ts"), epoch("last_ts"), F.lit(width).cast("long"))).alias("_a"))
+    ends = F.least(F.col("_last"), F.col("_a") + (width - seconds))
+    return spread(cut.select(*keep, "_a", ends.alias("_b")), *keep, "_a")
 
 
 def grid_of(bounds: DataFrame, step: str, name: str = "ts") -> DataFrame:
-    """Explode (first_ts, last_ts) into one row per step; no shuffle."""
-    keep = [c for c in bounds.columns if c not in ("first_ts", "last_ts")]
-    return bounds.select(
-        *keep, F.explode(F.sequence("first_ts", "last_ts", step_interval(step))).alias(name))
+    """One row per step of (first_ts, last_ts), the other columns kept."""
+    return grid_by_seconds(bounds, STEP_SECONDS[step], name)
 
 
-def grid_by_seconds(bounds: DataFrame, seconds: int) -> DataFrame:
-    """Grid by a fixed number of seconds; equal to the hourly grid on a UTC clock."""
+def grid_by_seconds(bounds: DataFrame, seconds: int, name: str = "ts") -> DataFrame:
+    """Grid by a fixed number of seconds; on a UTC clock an hour is always 3600."""
     keep = [c for c in bounds.columns if c not in ("first_ts", "last_ts")]
-    stamps = F.sequence(epoch("first_ts"), epoch("last_ts"), F.lit(seconds).cast("long"))
-    return bounds.select(*keep, F.explode(stamps).alias("s")).select(
-        *keep, F.timestamp_seconds("s").alias("ts"))
+    stamps = F.sequence("_a", "_b", F.lit(seconds).cast("long"))
+    return _chunked(bounds.where(F.col("first_ts").isNotNull()), seconds, keep).select(
+        *keep, F.explode(stamps).alias("_s")).select(*keep, F.timestamp_seconds("_s").alias(name))
 
 
 def distinct_steps(df: DataFrame, unit: str, keys=("series_id",)) -> DataFrame:

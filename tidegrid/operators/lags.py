@@ -17,13 +17,15 @@ LOAD_LAGS = {
 REGRESSION_LAGS = {"l28": 672, "l364": 8736, "l365": 8760, "l366": 8784}
 
 
-def add_lags(df: DataFrame, lags: dict[str, int], step: str, value: str = "value",
+def add_lags(df: DataFrame, lags: dict, step: str, value: str = "value",
              pad: float | None = 0.0, keys=("series_id",), block: int | None = None) -> DataFrame:
     """One column per lag, in steps of a complete grid; rows before the start of
-    a series get ``pad``. All lags share one shuffle."""
+    a series get ``pad``. A lag is a number of steps of ``value`` or a pair (column,
+    steps). All lags share one shuffle."""
     w = block_window(*keys)
-    return add_framed(df, {n: F.lag(value, k, pad).over(w) for n, k in lags.items()},
-                      step, keys, before=max(lags.values()), block=block)
+    pairs = {n: k if isinstance(k, tuple) else (value, k) for n, k in lags.items()}
+    return add_framed(df, {n: F.lag(c, k, pad).over(w) for n, (c, k) in pairs.items()},
+                      step, keys, before=max(k for _, k in pairs.values()), block=block)
 
 
 def lag_by_join(df: DataFrame, name: str, steps: int, step: str, value: str = "value",

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.operators.blocks import STEP_SECONDS, epoch
+from tidegrid.operators.blocks import STEP_SECONDS, epoch, spread
 
 
 @dataclass(frozen=True)
@@ -89,7 +89,7 @@ def _stamp(seconds: Column) -> Column:
 def origin_list(df: DataFrame, spec: Backtest, keys=("series_id",)) -> DataFrame:
     """One row per series and origin with the limits of its training window."""
     s = spec.step_seconds
-    exploded = origin_bounds(df, spec, keys).select(
+    exploded = spread(origin_bounds(df, spec, keys), *keys).select(
         *keys, "_first", F.explode(F.sequence(
             "_first", "_last", F.lit(spec.every_seconds).cast("long"))).alias("_o"))
     start = F.col("_first") if spec.expanding else F.col("_o")
