@@ -56,7 +56,8 @@ def test_null_reading_spoils_its_calendar_cell_but_an_absent_hour_does_not(serie
               ("2020-01-03 05:00:00", 20)]
     dense = grid.complete(series({"a": points}), "hour", mark=True)
     got = {str(r["ts"]): r["value"] for r in impute.calendar_fill(dense, ("hour",)).collect()}
-    assert got["2020-01-02 05:00:00"] is None       # its cell is spoiled and no cell comes before
+    # Its cell is spoiled; the circle before it is empty back to hour 6.
+    assert got["2020-01-02 05:00:00"] == 11.0
     assert got["2020-01-02 06:00:00"] == 11.0       # absent hour: mean of what was observed
 
 

@@ -11,8 +11,9 @@ def con(small):
     return connect(small)
 
 
-# Their work is seen in test_models and at larger scale by oracle_check.
-SLOW = {"f5_boosted_prediction", "f16_feature_importance", "f4_validation_curve"}
+# Variants whose parts test_models and test_flows cover; oracle_check runs them all.
+SLOW = {"f4_validation_curve", "f5_boosted_prediction", "f16_feature_importance", "f13_recursive_autoregression",
+        "backtest_boosted_residual_layer", "backtest_boosted_weekday_columns", "backtest_boosted_dummies"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])

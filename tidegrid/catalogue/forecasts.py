@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tidegrid.catalogue.features import with_station_weather
@@ -222,6 +223,19 @@ def f17(spark, folder):
     return render(linear.regression_summary(rows, ["trend"]), t_value=6)
 
 
+# The whole chain in SQL: window fit, residual layer, forecast of the day, daily scores.
+@query("backtest_two_layer_scores", with_(*_CHAIN, _FUTURE, _RESID, _AR1) + f""", fc AS (SELECT f.series_id, f.origin,
+  f.value AS actual, c.a + c.b * f.l2 + r.mu + pow(r.phi, f.step) * r.last AS predicted FROM future f
+  JOIN coef c ON c.series_id = f.series_id AND c.origin = f.origin
+  JOIN ar r ON r.series_id = f.series_id AND r.origin = f.origin WHERE f.step BETWEEN 17 AND 40)
+  SELECT series_id, {txt('CAST(origin AS DATE)')} AS day, {r('avg(actual - predicted)', 6)} AS me,
+  {r('sqrt(avg((actual - predicted) * (actual - predicted)))', 6)} AS rmse,
+  {r('avg(abs(100 * (actual - predicted) / nullif(actual, 0)))', 6)} AS mape FROM fc GROUP BY 1, 2""")
+def two_layer_scores(spark, folder):
+    out = linear.rolling_regression(with_l2(spark, folder), ["l2"], HOURLY_SPEC, residual_order=(1, 0, 0))
+    return render(published.score_days(out, HOURLY_SPEC).select("series_id", "day", "me", "rmse", "mape"), 6)
+
+
 def _plan_query(name, plan_name, **changes):
     """A published regression set-up on windows that fit the one-month table."""
     @query(name)
@@ -283,6 +297,15 @@ def f16(spark, folder):
     return render(boosted.importance(spark, models, _DAY_FEATURES))
 
 
+@query("o4_feature_ranking")
+def o4(spark, folder):
+    """Inputs ranked by their share of the gain; one row per input."""
+    table = _boosted_table(spark, folder)
+    first = boosted.refit_origins(table, BOOSTED_SPEC, 4)[0][0]
+    fitted = boosted.fit_window(table, _DAY_FEATURES, BOOSTED_SPEC, first, boosted.Boosting(rounds=4))
+    return render(boosted.ranked(boosted.importance(spark, [fitted], _DAY_FEATURES)))
+
+
 @query("backtest_boosted_residual_layer")
 def boosted_layer(spark, folder):
     """Boosted trees plus the seasonal residual layer, percent errors relative to
@@ -294,6 +317,21 @@ def boosted_layer(spark, folder):
                   .drop("peaks", "peaks_pred"), 6)
 
 
+# One lag, one straight line for all series on scaled values: the recursion in closed form.
+@query("f13_linear_recursion", with_(FILLED_CHAIN) + f""", sc AS (SELECT series_id, avg(value) AS m,
+  stddev_samp(value) AS sd, max(ts) AS last FROM filled GROUP BY 1), z AS (SELECT f.series_id, f.ts, (value - m) / sd AS z,
+  lag((value - m) / sd) OVER (PARTITION BY f.series_id ORDER BY f.ts) AS z1 FROM filled f JOIN sc USING (series_id)),
+  line AS (SELECT regr_slope(z, z1) AS b, regr_intercept(z, z1) AS a FROM z WHERE z1 IS NOT NULL)
+  SELECT sc.series_id, CAST(step AS INTEGER) AS step, {txt('sc.last + step * INTERVAL 1 HOUR')} AS ts,
+  {r('m + sd * (a * (1 - pow(b, step)) / (1 - b) + pow(b, step) * z.z)', 6)} AS predicted FROM sc
+  JOIN z ON z.series_id = sc.series_id AND z.ts = sc.last, line, range(1, 9) s(step)""")
+def f13_linear(spark, folder):
+    rows = tables.filled_events(spark, folder)
+    line = LinearRegression(featuresCol="features", labelCol="_z", predictionCol="_p", solver="normal")
+    model, scale = autoregression.fit_autoregression(rows, [1], "hour", line)
+    return render(autoregression.recursive_forecast(rows, model, scale, [1], 8, "hour"), 6)
+
+
 @query("f13_recursive_autoregression")
 def f13(spark, folder):
     rows = tables.filled_events(spark, folder)

@@ -59,8 +59,9 @@ GRID = """grid AS (SELECT series_id, unnest(generate_series(lo, hi, INTERVAL 1 H
 DENSE = """dense AS (SELECT g.series_id, g.ts, h.value FROM grid g
   LEFT JOIN hourly h ON g.series_id = h.series_id AND g.ts = h.ts)"""
 FILLED = """cells AS (SELECT series_id, hour(ts) AS hr, avg(value) AS m FROM dense GROUP BY 1, 2),
-carried AS (SELECT series_id, hr, last_value(m IGNORE NULLS) OVER (PARTITION BY series_id
-  ORDER BY hr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM cells),
+carried AS (SELECT series_id, hr, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY series_id
+  ORDER BY hr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), last_value(m IGNORE NULLS) OVER (
+  PARTITION BY series_id ORDER BY hr ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS m FROM cells),
 filled AS (SELECT d.series_id, d.ts, coalesce(d.value, c.m) AS value FROM dense d
   LEFT JOIN carried c ON d.series_id = c.series_id AND hour(d.ts) = c.hr)"""
 DENSE_CHAIN = ",\n".join([HOURLY, GRID, DENSE])
@@ -76,9 +77,10 @@ DAY_DENSE = """day_dense AS (SELECT g.series_id, g.ts, h.value FROM day_grid g
   LEFT JOIN daily h ON g.series_id = h.series_id AND g.ts = h.ts)"""
 DAY_FILLED = """day_cells AS (SELECT series_id, month(ts) AS mo, day(ts) AS dy, avg(value) AS m
   FROM day_dense GROUP BY 1, 2, 3),
-day_carried AS (SELECT series_id, mo, dy, m AS cell, last_value(m IGNORE NULLS) OVER (
-  PARTITION BY series_id ORDER BY mo, dy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m
-  FROM day_cells),
+day_carried AS (SELECT series_id, mo, dy, m AS cell, coalesce(last_value(m IGNORE NULLS) OVER (
+  PARTITION BY series_id ORDER BY mo, dy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  last_value(m IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY mo, dy
+  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS m FROM day_cells),
 day_filled AS (SELECT d.series_id, d.ts, coalesce(d.value, c.m) AS value,
   CASE WHEN d.value IS NOT NULL THEN 'observed' WHEN c.cell IS NOT NULL THEN 'calendar'
        WHEN c.m IS NOT NULL THEN 'fallback' ELSE 'none' END AS fill_source

@@ -14,7 +14,7 @@ from functools import reduce
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegrid.operators.blocks import epoch
@@ -194,3 +194,9 @@ def importance(spark: SparkSession, models, features) -> DataFrame:
     rows = [(name, share) for m in models for name, share in zip(names, m.importances())]
     return (spark.createDataFrame(rows, "feature string, share double")
             .groupBy("feature").agg(F.avg("share").alias("importance")).orderBy(F.desc("importance")))
+
+
+def ranked(table: DataFrame) -> DataFrame:
+    """Position of each input by importance. The window sees one row per input."""
+    order = Window.orderBy(F.desc("importance"), "feature")
+    return table.withColumn("position", F.row_number().over(order))

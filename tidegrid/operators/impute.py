@@ -37,7 +37,8 @@ def with_calendar_mean(df: DataFrame, means: DataFrame, parts=CALENDAR,
 def calendar_fill(dense: DataFrame, parts=CALENDAR, value: str = "value", keys=("series_id",),
                   skip_null: bool = False, source: bool = False) -> DataFrame:
     """Null values take the mean of their calendar cell, or, if that is empty too,
-    the last non-empty cell before it in calendar order.
+    the last non-empty cell before it in calendar order. The calendar is a circle:
+    before its first cell comes its last one.
 
     ``source`` adds ``fill_source``: observed, calendar, fallback or none.
     """
@@ -50,8 +51,11 @@ def calendar_fill(dense: DataFrame, parts=CALENDAR, value: str = "value", keys=(
     # Cells come from the grid, so that a cell without any value is a row here.
     cells = keyed.groupBy(*keys, *parts).agg(mean.alias("_cell"))
     # At most 366 * 24 cells per key: the window is bounded by the calendar.
-    w = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("_carried", F.last("_cell", ignorenulls=True).over(w))
+    order = Window.partitionBy(*keys).orderBy(*parts)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = cells.withColumn("_carried", F.coalesce(
+        F.last("_cell", ignorenulls=True).over(so_far), F.last("_cell", ignorenulls=True).over(whole)))
     out = keyed.join(cells, [*keys, *parts], "left")
     filled = F.coalesce(F.col(value), F.col("_carried"))
     columns = {}
