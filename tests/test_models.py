@@ -144,6 +144,16 @@ def test_boosted_forecast_does_not_look_ahead(load):
     assert forecast(load) == pytest.approx(forecast(changed), rel=1e-9)
 
 
+def test_boosted_trees_take_missing_inputs(load):
+    """Where the input is missing the value is another; trees must tell them apart."""
+    rows = load.where("series_id = 'a'").withColumn("h", F.when(F.hour("ts") >= 12, F.lit(1.0))).withColumn(
+        "value", F.when(F.col("h").isNull(), 10.0).otherwise(50.0))
+    spec = Backtest(train=SPEC.train, first="2020-01-15", last="2020-01-15")
+    out, _ = boosted.boosted_backtest(boosted.store_features(rows.select("series_id", "ts", "value", "h")), ["h"],
+                                      spec, boosted.Boosting(rounds=40, rate=0.3, row_share=1.0))
+    assert out.agg(F.max(F.abs(F.col("actual") - F.col("predicted")))).first()[0] < 0.5
+
+
 def test_best_round_waits_for_patience():
     assert boosted.best_round([5, 4, 3, 4, 4, 2, 9], patience=2) == 3
     assert boosted.best_round([5, 4, 3, 4, 4, 2, 9], patience=3) == 6

@@ -16,6 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.operators.blocks import epoch
 from tidegrid.operators.linear import shared_residual_forecast
@@ -23,6 +24,7 @@ from tidegrid.plans.backtest import Backtest, horizon_rows, origin_bounds
 from tidegrid.session import fresh_path, shared_folder
 
 SERIES_FEATURES = ("series_mean", "series_sd")
+MISSING = -1e12  # Fixed value: stands for a missing input.
 
 
 @dataclass(frozen=True)
@@ -97,8 +99,13 @@ def store_features(df: DataFrame) -> DataFrame:
 
 
 def _assembled(df: DataFrame, features) -> DataFrame:
-    return VectorAssembler(inputCols=[*features, *SERIES_FEATURES], outputCol="features",
-                           handleInvalid="keep").transform(df)
+    """Feature vector of each row. Spark's trees take no missing inputs: they become
+    a value below all others, which a split can set apart."""
+    inputs = [*features, *SERIES_FEATURES]
+    numeric = [f.name for f in df.schema.fields if f.name in inputs and isinstance(f.dataType, T.NumericType)]
+    whole = df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(MISSING)), F.lit(MISSING))
+                            for c in numeric})
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(whole)
 
 
 def _between(df: DataFrame, low: int, high: int) -> DataFrame:
