@@ -39,9 +39,9 @@ def a4(spark, folder):
 
 
 @query("a5_mean_temperature", with_(STATION_ROWS) + f"""SELECT {txt("date_trunc('hour', ts)")} AS ts,
-  {r('avg(value)')} AS value FROM station_rows GROUP BY date_trunc('hour', ts)""")
+  {r('avg(value)', 10)} AS value FROM station_rows GROUP BY date_trunc('hour', ts)""")
 def a5(spark, folder):
-    return render(grid.bucket_mean(tables.station_readings(spark, folder), "hour", ()))
+    return render(grid.bucket_mean(tables.station_readings(spark, folder), "hour", ()), 10)
 
 
 @query("a6_missing_cells", with_(DENSE_CHAIN) + """SELECT count(*) AS row_count,

@@ -45,12 +45,12 @@ def j2(spark, folder):
 
 @query("j3_hourly_weather_join", with_(FILLED_CHAIN, STATION_ROWS) + f""", temps AS (
   SELECT date_trunc('hour', ts) AS date, avg(value) AS temperature FROM station_rows GROUP BY 1)
-  SELECT f.series_id, {txt('f.ts')} AS ts, {r('f.value')} AS value, {r('t.temperature')} AS temperature
+  SELECT f.series_id, {txt('f.ts')} AS ts, {r('f.value', 10)} AS value, {r('t.temperature', 10)} AS temperature
   FROM filled f LEFT JOIN temps t ON f.ts = t.date""")
 def j3(spark, folder):
     temps = grid.bucket_mean(tables.station_readings(spark, folder), "hour", ()).select(
         F.col("ts").alias("date"), F.col("value").alias("temperature"))
-    return render(weather.join_hourly(tables.filled_events(spark, folder), temps, "date"))
+    return render(weather.join_hourly(tables.filled_events(spark, folder), temps, "date"), 10)
 
 
 @query("j4_daily_weather_join", with_(FILLED_CHAIN, STATION_ROWS) + f""", days AS (
