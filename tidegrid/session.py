@@ -1,15 +1,38 @@
-"""Session helpers: UTC clock, shared scratch folder."""
+"""Session helpers: UTC clock, the package on the workers, shared scratch folder."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers, once an application, so that none needs an installation."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="tidegrid-"), "tidegrid.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.relpath(full, os.path.dirname(root)))
+        context.addPyFile(path)
+    return spark
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """Pin the session clock to UTC, so that calendar parts have no DST jumps."""
+    ship(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
