@@ -190,11 +190,15 @@ def _texts_of(kinds: tuple[str, ...] | None = None) -> Column:
                                                                 x["span_end"].cast("string"))), ",")
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("span_kind", lambda x: x == kind)).cast("long")
+
+
 def digests(df: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and all spans as text."""
     found = scan(df, ["doc_id"])
     base = tuple(r.kind for r in BASE)
-    return found.select("doc_id", *(F.size(F.filter("span_kind", lambda x, k=k: x == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *(_count(k).alias(f"n_{k}")
                                     for k in base),
                         F.sha2(_texts_of(base), 256).alias("base_sha256"), _texts_of().alias("spans"))
 
