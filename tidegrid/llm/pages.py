@@ -52,10 +52,12 @@ def _names(value: str | None) -> list[str]:
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "skipped", "article", "depth")
+    __slots__ = ("tag", "parent", "skipped", "article", "inline", "depth")
 
     def __init__(self, tag, parent, skipped, article):
         self.tag, self.parent, self.skipped, self.article = tag, parent, skipped, article
+        # A skipped element inside a line leaves the line, without cutting it.
+        self.inline = parent is not None and (parent.inline or skipped and not parent.skipped and tag not in BLOCK)
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -153,7 +155,8 @@ class Lines(HTMLParser):
             self.pop()
 
     def handle_data(self, data):
-        self.parts.append(data)
+        if not self.at.inline:
+            self.parts.append(data)
 
 
 def smoothed(ratios: np.ndarray, radius: int) -> np.ndarray:
