@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -59,6 +60,7 @@ def main() -> int:
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="oracle-check-"))
              .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
              .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())

@@ -179,34 +179,32 @@ ends AS (SELECT run.*, run.p - 1 AS n, (run.p - 1) * ln(sse + 1e-300) + 2 * k +
 best AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY series_id, origin ORDER BY aicc, form, alpha, beta, phi) = 1)"""
 
 
-WEEKLY_ORIGINS = Backtest(train=HOURLY_SPEC.train, every=72)
-_WEEKLY_CHAIN = (FILLED_CHAIN, ORIGINS.replace("origin + INTERVAL 23 HOUR <= hi",
-                 "origin + INTERVAL 23 HOUR <= hi AND epoch(origin) % 259200 = 0"), _L2, _TRAIN, _FUTURE)
+_ETS_CHAIN = (FILLED_CHAIN, ORIGINS, _L2, _TRAIN, _FUTURE)
 
 
-@query("f12_smoothing_with_trend", "WITH RECURSIVE " + ",\n".join([*_WEEKLY_CHAIN, _ets_sql(ets.FORMS)]) + f""" SELECT
+@query("f12_smoothing_with_trend", "WITH RECURSIVE " + ",\n".join([*_ETS_CHAIN, _ets_sql(ets.FORMS)]) + f""" SELECT
   f.series_id, {txt('f.origin')} AS origin, f.step, b.form, {r('f.value')} AS actual,
   {r('b.l + b.b * CASE WHEN b.phi = 1 THEN f.step ELSE b.phi * (1 - pow(b.phi, f.step)) / (1 - b.phi) END')} AS predicted
   FROM future f JOIN best b ON b.series_id = f.series_id AND b.origin = f.origin""")
 def f12(spark, folder):
-    return render(ets.ets_forecast(tables.filled_events(spark, folder), WEEKLY_ORIGINS).select(
+    return render(ets.ets_forecast(tables.filled_events(spark, folder), HOURLY_SPEC).select(
         "series_id", "origin", "step", "form", "actual", "predicted"))
 
 
 @query("f12_damped_box_cox")
 def f12_box_cox(spark, folder):
     """Damped trend on Box-Cox values whose parameter is chosen per window."""
-    out = ets.ets_forecast(tables.filled_events(spark, folder), WEEKLY_ORIGINS, ("AAdN",), lam="auto")
+    out = ets.ets_forecast(tables.filled_events(spark, folder), HOURLY_SPEC, ("AAdN",), lam="auto")
     return render(out, 6)
 
 
-@query("f18_forecast_interval", "WITH RECURSIVE " + ",\n".join([*_WEEKLY_CHAIN, _ets_sql(("ANN",))]) + f""" SELECT
+@query("f18_forecast_interval", "WITH RECURSIVE " + ",\n".join([*_ETS_CHAIN, _ets_sql(("ANN",))]) + f""" SELECT
   f.series_id, {txt('f.origin')} AS origin, f.step, {r('b.l')} AS predicted,
   {r('b.l - 1.959963984540054 * sqrt(b.sse / b.n * (1 + (f.step - 1) * b.alpha * b.alpha))')} AS lower,
   {r('b.l + 1.959963984540054 * sqrt(b.sse / b.n * (1 + (f.step - 1) * b.alpha * b.alpha))')} AS upper
   FROM future f JOIN best b ON b.series_id = f.series_id AND b.origin = f.origin""")
 def f18(spark, folder):
-    return render(ets.ets_forecast(tables.filled_events(spark, folder), WEEKLY_ORIGINS, ("ANN",)).select(
+    return render(ets.ets_forecast(tables.filled_events(spark, folder), HOURLY_SPEC, ("ANN",)).select(
         "series_id", "origin", "step", "predicted", "lower", "upper"))
 
 
@@ -257,9 +255,10 @@ _plan_query("backtest_smoothing_layer", "smoothing_layer", train=14 * 24 + 8)
 _DAY_LAGS = {"d2": 2, "d3": 3, "d4": 4, "d5": 5, "d6": 6, "l7": 7, "l14": 14, "l21": 21, "w4": 28, "y1_1b": 364}
 _DAY_FEATURES = [*_DAY_LAGS, "day_week", "day_year", "month", "day_month", "holiday", "trend",
                  "day_week_sin1", "day_week_cos1", "day_year_sin1", "day_year_cos1", "month_sin1", "month_cos1"]
-BOOSTED_SPEC = Backtest(train=1095 + 40, valid=40, horizon=9, score_from=3, every=7, step="day",
-                        first="2001-10-01 00:00:00")
+# Every weekly origin the table allows; a model serves the origins of a year.
+BOOSTED_SPEC = Backtest(train=1095 + 40, valid=40, horizon=9, score_from=3, every=7, step="day")
 BOOSTING = boosted.Boosting(rounds=20)
+YEARLY_REFIT = 52
 
 
 def _boosted_table(spark, folder):
@@ -269,14 +268,14 @@ def _boosted_table(spark, folder):
 
 @query("f3_boosted_trees")
 def f3(spark, folder):
-    out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING, refit_every=4)
+    out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING, refit_every=YEARLY_REFIT)
     return render(out, 6)
 
 
 @query("f4_validation_curve")
 def f4(spark, folder):
     table = _boosted_table(spark, folder)
-    first = boosted.refit_origins(table, BOOSTED_SPEC, 4)[0][0]
+    first = boosted.refit_origins(table, BOOSTED_SPEC, YEARLY_REFIT)[0][0]
     fitted = boosted.fit_window(table, _DAY_FEATURES, BOOSTED_SPEC, first, BOOSTING)
     # At most ``rounds`` rows: the error of each boosting round.
     rows = [(i, float(e), int(i == fitted.rounds)) for i, e in enumerate(fitted.errors, 1)]
@@ -285,7 +284,7 @@ def f4(spark, folder):
 
 @query("f5_boosted_prediction")
 def f5(spark, folder):
-    out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING, refit_every=4)
+    out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING, refit_every=YEARLY_REFIT)
     rows = out.where("step >= 3").withColumns({"week": F.to_date("origin"), "hour": F.dayofweek("ts")})
     return render(metrics.daily_scores(rows, ("series_id", "week"), denominator="predicted")
                   .drop("peaks", "peaks_pred"), 6)
@@ -293,7 +292,7 @@ def f5(spark, folder):
 
 @query("f16_feature_importance")
 def f16(spark, folder):
-    _, models = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING, refit_every=4)
+    _, models = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING, refit_every=YEARLY_REFIT)
     return render(boosted.importance(spark, models, _DAY_FEATURES))
 
 
@@ -301,7 +300,7 @@ def f16(spark, folder):
 def o4(spark, folder):
     """Inputs ranked by their share of the gain; one row per input."""
     table = _boosted_table(spark, folder)
-    first = boosted.refit_origins(table, BOOSTED_SPEC, 4)[0][0]
+    first = boosted.refit_origins(table, BOOSTED_SPEC, YEARLY_REFIT)[0][0]
     fitted = boosted.fit_window(table, _DAY_FEATURES, BOOSTED_SPEC, first, boosted.Boosting(rounds=4))
     return render(boosted.ranked(boosted.importance(spark, [fitted], _DAY_FEATURES)))
 
@@ -311,7 +310,7 @@ def boosted_layer(spark, folder):
     """Boosted trees plus the seasonal residual layer, percent errors relative to
     the prediction, as the published daily metrics are."""
     out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING,
-                                      refit_every=4, residual_order=(1, 0, 1), residual_seasonal=(1, 0, 0), period=7)
+                                      refit_every=YEARLY_REFIT, residual_order=(1, 0, 1), residual_seasonal=(1, 0, 0), period=7)
     rows = out.where("step >= 3").withColumns({"week": F.to_date("origin"), "hour": F.dayofweek("ts")})
     return render(metrics.daily_scores(rows, ("series_id", "week"), denominator="predicted")
                   .drop("peaks", "peaks_pred"), 6)
@@ -355,8 +354,8 @@ def f15(spark, folder):
     return render(additive.additive_components(rows, model, ("weekly", "daily")), 4)
 
 
-# The boosted set-ups on the hourly table: windows of two weeks, one refit.
-HOURLY_BOOSTED = Backtest(train=14 * 24 + 8, valid=40, first="2024-01-27")
+# The boosted set-ups on the hourly table: windows of two weeks, a refit a week.
+HOURLY_BOOSTED = Backtest(train=14 * 24 + 8, valid=40)
 HOURLY_BOOSTING = boosted.Boosting(rounds=8)
 
 

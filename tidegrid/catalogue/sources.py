@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.catalogue.registry import (DAILY, DAY_FILLED_CHAIN, FILLED_CHAIN, HOURLY, STATION_HOURS,
                                          STATION_ROWS, query, r, render, txt, with_)
-from tidegrid.operators import grid, lags, metrics, weather
+from tidegrid.operators import diagnostics, grid, lags, metrics, weather
 from tidegrid.session import fresh_path
 from tidegrid.sources import files, sinks, tables
 
@@ -187,8 +187,7 @@ def k7(spark, folder):
   {r('avg(l_extendedprice)', 4)} AS mean_value FROM lineitem GROUP BY 1""")
 def k8(spark, folder):
     rows = tables.table(spark, folder, "lineitem")
-    return render(rows.groupBy(F.floor("l_quantity").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("mean_value")), 4)
+    return render(diagnostics.binned_mean(rows, "l_quantity", "l_extendedprice"), 4)
 
 
 @query("k9_raw_slice_feed", with_(DAILY) + f"""SELECT series_id, {txt('CAST(ts AS TIMESTAMP)')} AS ts,

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.operators.blocks import DAY, STEP_SECONDS, epoch
+from tidegrid.operators.blocks import DAY, STEP_SECONDS, epoch, spread
 from tidegrid.operators.grid import span
 from tidegrid.operators.linear import _key_fields, series_gram
 
@@ -91,7 +91,7 @@ def fit_additive(df: DataFrame, seasons=tuple(SEASONS), hinges: int = HINGES, va
             yield pd.DataFrame({**{k: pdf[k] for k in keys}, "coefficients": [
                 penalised(np.asarray(g, dtype=float).reshape(size, size), hinge, season).tolist() for g in pdf["gram"]]})
 
-    fitted = series_gram(made, names, "_v", keys).mapInPandas(solve, schema)
+    fitted = spread(series_gram(made, names, "_v", keys), *keys).mapInPandas(solve, schema)
     return fitted.join(ranges, list(keys))
 
 

@@ -1,13 +1,13 @@
 """Gradient boosted trees over rolling origins, one model for all series.
 
 A model is a distributed Spark ML fit over the training rows of every series. It
-is refitted every ``refit_every`` origins and forecasts the origins up to the next
-refit; the mean and spread of each series in the training window are features, so
+is fitted for each origin, or every ``refit_every`` origins where that is asked for; the mean and spread of each series in the training window are features, so
 that one model serves series of different size.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -160,19 +160,21 @@ def refit_origins(table: DataFrame, spec: Backtest, refit_every: int, keys=("ser
 
 
 def boosted_backtest(table: DataFrame, features, spec: Backtest, boosting: Boosting = Boosting(),
-                     refit_every: int = 7, residual_order=None, residual_seasonal=(1, 0, 0), period: int = 24,
-                     keys=("series_id",)) -> tuple[DataFrame, list[Fitted]]:
+                     refit_every: int = 1, residual_order=None, residual_seasonal=(1, 0, 0), period: int = 24,
+                     keys=("series_id",), parallel: int = 4) -> tuple[DataFrame, list[Fitted]]:
     """Forecasts of all origins (keys, origin, step, ts, actual, base, residual,
     predicted) and the fitted models.
 
     ``table`` should be a stored frame (``store_features``), as each fit scans it.
     ``residual_order`` adds the seasonal ARMA forecast of the residuals over each
-    origin's own training window."""
-    parts, models = [], []
+    origin's own training window. ``refit_every`` is 1 unless a wider spacing is asked for:
+    then later origins of a group use its first model. ``parallel`` fits run at a time."""
+    parts = []
     s = spec.step_seconds
-    for first, last in refit_origins(table, spec, refit_every, keys):
-        model = fit_window(table, features, spec, first, boosting, keys)
-        models.append(model)
+    groups = refit_origins(table, spec, refit_every, keys)
+    with ThreadPoolExecutor(parallel) as pool:
+        models = list(pool.map(lambda g: fit_window(table, features, spec, g[0], boosting, keys), groups))
+    for (first, last), model in zip(groups, models):
         group = Backtest(train=spec.train, horizon=spec.horizon, score_from=spec.score_from, every=spec.every,
                          valid=spec.valid, step=spec.step)
         start = first - (spec.score_from + spec.train - 1) * s

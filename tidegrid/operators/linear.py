@@ -308,4 +308,4 @@ def regression_summary(df: DataFrame, features, label: str = "value", keys=("ser
                                  float(1 - left / total) if total > 0 else None))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return series_gram(df, features, label, keys).mapInPandas(summarise, schema)
+    return spread(series_gram(df, features, label, keys), *keys).mapInPandas(summarise, schema)

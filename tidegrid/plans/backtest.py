@@ -39,7 +39,7 @@ class Backtest:
 
 # The published set-ups (rows are hours).
 PUBLISHED = {
-    "single_holdout": Backtest(train=2160, every=24),
+    "single_holdout": Backtest(train=2160, every=1, first="2014-04-01 16:00:00", last="2014-04-01 16:00:00"),
     "expanding_month": Backtest(train=2168, expanding=True),
     "rolling_quarter": Backtest(train=2168),
     "rolling_two_years": Backtest(train=17529),

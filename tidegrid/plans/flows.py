@@ -43,7 +43,7 @@ def merge_weather(readings: DataFrame, stations, columns=("tmpf",), value: str =
 
 
 def boosted_year(frame: DataFrame, year: int, spec: Backtest = PUBLISHED["boosted_three_years"],
-                 boosting: boosted.Boosting = boosted.Boosting(), refit_every: int = 7, features=FINAL_FEATURES,
+                 boosting: boosted.Boosting = boosted.Boosting(), refit_every: int = 1, features=FINAL_FEATURES,
                  keys=("series_id",)) -> tuple[DataFrame, DataFrame]:
     """(daily metrics, hourly prediction log) of one year of origins. Percent errors
     are relative to the prediction, as in the published daily metrics."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from pyspark.sql import SparkSession
 
 
 _shipped: set[str] = set()
+_scratch: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -56,7 +58,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/scratch-{spark.sparkContext.applicationId}"
+    if folder not in _scratch:
+        _scratch.add(folder)
+        atexit.register(release, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession, folder: str) -> None:
+    """Remove the scratch tables of an application; called when Python ends, if Spark still runs."""
+    context = spark.sparkContext
+    if context._jsc is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df, eager: bool = True):

@@ -33,6 +33,8 @@ def write_stations(df: DataFrame, path: str, fmt: str = "csv", mode: str = "erro
 
 def write_by_year(df: DataFrame, path: str, day: str, fmt: str = "csv",
                   mode: str = "errorifexists") -> str:
-    """Daily metrics or prediction logs, one folder per year."""
+    """Daily metrics or prediction logs, one folder per year. A month's rows are
+    written by one task, so files do not multiply with tasks."""
     writer = write_csv if fmt == "csv" else write_parquet
-    return writer(df.withColumn("year", F.year(day)), path, ("year",), mode)
+    by_month = df.withColumn("year", F.year(day)).repartition("year", F.month(day))
+    return writer(by_month, path, ("year",), mode)
