@@ -140,8 +140,11 @@ def test_minhash_parts():
     for share in (0.75, 0.95):
         keep = int(2 * 2000 * share / (1 + share))
         a, b = base[:2000], np.concatenate([base[:keep], base[2000:4000 - keep]])
-        x, y = near.odd_sketch(near.samples(a)), near.odd_sketch(near.samples(b))
-        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= near.MAX_DIFFERENT
+        (x, n), (y, m) = near.odd_sketch(a), near.odd_sketch(b)
+        odd = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        agree = (n + m + near.BITS / 2 * np.log(1 - 2 * odd / near.BITS)) / 2
+        assert agree + near.LEEWAY >= near.LEAST * max(n, m)
+        assert abs(agree / max(n, m) - share) < 0.11
 
 
 def test_cover_tree_links_are_exact():

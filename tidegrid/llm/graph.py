@@ -22,9 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = e.union(e.select("v", "u"))
-        least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         e = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        least = written(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
         tied = e.join(least, "u")
         e = written(tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                     .union(tied.select("u", F.col("m").alias("v"))).distinct(), "small-star")

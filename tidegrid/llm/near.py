@@ -6,9 +6,10 @@ representative of a class, so copies are never expanded into pairs.
 
 1. 128 MinHash samples give 32 bands of 4. Two sets of similarity 0.75 share a band with
    probability 0.999995.
-2. The samples are folded into a 512-bit parity bitmap, the odd sketch. The XOR of two
-   bitmaps counts (up to collisions) the samples that differ; more than ``MAX_DIFFERENT``
-   set bits, five standard deviations above the mean at 0.75, discard a pair.
+2. One-permutation MinHash samples (the least hash in each of 1024 bins) are folded into a
+   2048-bit parity bitmap, the odd sketch. The XOR of two bitmaps tells how many samples
+   differ, hence how many agree; a pair whose estimate lies more than five standard
+   deviations (about 0.022 each) below 0.75 is discarded, and so are sizes that rule it out.
 3. Each band bucket is first tied to its smallest member. Pairs that pass the sketch are
    confirmed on the full sets, streamed by leader, and components are labelled.
 4. Buckets that still hold two labels compare their members across labels in the same way,
@@ -36,7 +37,9 @@ from tidegrid.llm.graph import components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 SHINGLE, PERCENT = 5, 75
-SAMPLES, BANDS, BITS, MAX_DIFFERENT = 128, 32, 512, 100
+SAMPLES, BANDS = 128, 32
+BIN_BITS, BITS = 10, 2048
+LEAST, LEEWAY = 0.64, 4.0
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(7)
@@ -73,10 +76,13 @@ def samples(found: np.ndarray) -> np.ndarray:
     return best
 
 
-def odd_sketch(sample: np.ndarray) -> np.ndarray:
-    """Parity bitmap of (position, sample) pairs, eight 64-bit words."""
-    at = _mix(sample + np.arange(SAMPLES, dtype=U) * STEP) % U(BITS)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=BITS) & 1).view(np.int64)
+def odd_sketch(found: np.ndarray) -> tuple[np.ndarray, int]:
+    """Parity bitmap of the least hash of each bin, and the number of bins with one."""
+    hashed = np.sort(_mix(found * FACTORS[0]))
+    bins = hashed >> U(64 - BIN_BITS)
+    least = hashed[np.concatenate([[True], bins[1:] != bins[:-1]])] if len(hashed) else hashed
+    at = (_mix(least) % U(BITS)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=BITS) & 1).view(np.int64), len(least)
 
 
 def band_keys(sample: np.ndarray) -> np.ndarray:
@@ -87,27 +93,33 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, set_key, bands, sketch of every whole text."""
+    """doc_id, n_shingles, set_key, bands, sketch, filled of every whole text."""
     def start():
         def work(texts):
             sets = [shingles(t) for t in texts]
             made = [samples(s) for s in sets]
+            odd = [odd_sketch(s) for s in sets]
             full = [len(s) > 0 for s in sets]
             return [[len(s) for s in sets], [hashlib.md5(s.tobytes()).hexdigest() if len(s) else None for s in sets],
                     lists(np.concatenate([band_keys(m) for m, f in zip(made, full) if f] or [np.empty(0, np.int64)]),
                           [BANDS * f for f in full]),
-                    lists(np.concatenate([odd_sketch(m) for m, f in zip(made, full) if f] or [np.empty(0, np.int64)]),
-                          [BITS // 64 * f for f in full])]
+                    lists(np.concatenate([o for (o, _), f in zip(odd, full) if f] or [np.empty(0, np.int64)]),
+                          [BITS // 64 * f for f in full]), [n for _, n in odd]]
         return work
     return map_texts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text",
                      [field("n_shingles", "long"), field("set_key", "string"), field("bands", "array<bigint>"),
-                      field("sketch", "array<bigint>")], start)
+                      field("sketch", "array<bigint>"), field("filled", "int")], start)
 
 
 def close(a: str, b: str) -> Column:
-    """Whether the odd sketches allow the similarity."""
-    bits = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(bits, F.lit(0), lambda n, x: n + x) <= MAX_DIFFERENT
+    """Whether two marks (structs of n_shingles, filled, sketch) allow the similarity."""
+    bits = F.zip_with(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    odd = F.least(F.aggregate(bits, F.lit(0), lambda n, x: n + x), F.lit(BITS // 2 - 1))
+    differ = -BITS / 2 * F.log(1 - 2 * odd / F.lit(float(BITS)))
+    agree = (F.col(f"{a}.filled") + F.col(f"{b}.filled") - differ) / 2
+    sizes = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    return (100 * F.least(*sizes) >= PERCENT * F.greatest(*sizes)) & (
+        agree + LEEWAY >= LEAST * F.greatest(F.col(f"{a}.filled"), F.col(f"{b}.filled")))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, salts: int = 16) -> DataFrame:
@@ -116,7 +128,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, salts: int = 16) -> DataFrame:
     Rows are dealt by (a, salt of b) and stream through a task: the set of ``a`` is made once,
     each ``b`` is compared as it passes, so a group of any size is never held."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    # A merge join at every size: broadcast ids would make the plan depend on how many there are.
+    texts = written(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
     first = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select(
         "a", "salt", F.lit(0).alias("part"), F.col("a").alias("b"), "text")
@@ -146,8 +159,8 @@ def clusters(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marks = written(signatures(docs, "doc_id", "text"), "signatures")
     classes = written(marks.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
-    sketches = classes.select("rep", "sketch")
+        F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by(F.struct("n_shingles", "filled", "sketch"), "doc_id").alias("mark")), "classes")
+    sketches = classes.select("rep", "mark")
     rows = classes.select(F.explode("bands").alias("key"), "rep")
     leaders = written(rows.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "buckets")
     members = written(rows.join(leaders, "key"), "members")
@@ -161,8 +174,8 @@ def clusters(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     named = written(named.select("key", "rep", "label"), "named")
     mixed = written(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "mixed")
     open_ = written(named.join(mixed, "key").join(sketches, "rep"), "open")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "label", "sketch"))) for s in "ab")
-    more = x.join(y, "key").where("rep_a < rep_b and label_a <> label_b").where(close("sketch_a", "sketch_b"))
+    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "label", "mark"))) for s in "ab")
+    more = x.join(y, "key").where("rep_a < rep_b and label_a <> label_b").where(close("mark_a", "mark_b"))
     more = more.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     more = written(confirmed(written(more, "pairs"), docs), "links")
     if more.limit(1).count():
