@@ -174,3 +174,18 @@ def test_pipeline_against_its_parts(spark, small):
     out = corpus_pipeline.run(spark, small).toPandas()
     assert sorted(set(out.doc_id)) == sorted(texts.doc_id)
     assert out.groupby("doc_id").length.sum().equals(out.groupby("doc_id").doc_tokens.first())
+
+
+def test_sketch_passes_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for size in (1, 3, 7, 20, 100, 400, 2000, 20000):
+        for k in range(40):
+            base = rng.integers(0, 2 ** 63, 2 * size, np.uint64)
+            both = int(np.ceil(2 * size * 0.75 / 1.75))
+            a, b = np.unique(base[:size]), np.unique(np.concatenate([base[:both], base[size:2 * size - both]]))
+            marks = [(len(x), near.odd_sketch(x)) for x in (a, b)]
+            rows.append((size, *[(n, f, o.tolist()) for n, (o, f) in marks]))
+    mark = "struct<n_shingles: bigint, filled: int, sketch: array<bigint>>"
+    df = spark.createDataFrame(rows, f"size int, a {mark}, b {mark}")
+    assert df.where(~near.close("a", "b")).count() == 0

@@ -6,14 +6,16 @@ representative of a class, so copies are never expanded into pairs.
 
 1. 128 MinHash samples give 32 bands of 4. Two sets of similarity 0.75 share a band with
    probability 0.999995.
-2. One-permutation MinHash samples (the least hash in each of 1024 bins) are folded into a
-   2048-bit parity bitmap, the odd sketch. The XOR of two bitmaps tells how many samples
-   differ, hence how many agree; a pair whose estimate lies more than five standard
-   deviations (about 0.022 each) below 0.75 is discarded, and so are sizes that rule it out.
+2. One-permutation MinHash samples (the least hash in each of 4096 bins) are folded into a
+   4096-bit parity bitmap, the odd sketch. The XOR of two bitmaps tells how many samples
+   differ, hence how many agree. A pair is discarded where the agreement lies more than five
+   standard deviations below what its set sizes and a similarity of 0.75 lead to expect, or
+   where the sizes alone rule that similarity out.
 3. Each band bucket is first tied to its smallest member. Pairs that pass the sketch are
    confirmed on the full sets, streamed by leader, and components are labelled.
 4. Buckets that still hold two labels compare their members across labels in the same way,
-   so no link inside a bucket is skipped; pairs of equal label need no test.
+   first with a few more leaders, then with each other, so no link inside a bucket is
+   skipped; pairs of equal label need no test.
 
 Defined results: null text or text without words has an empty set and links with nothing;
 fewer than five words make one shingle; repeated ids act as one document; an empty table
@@ -38,8 +40,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 SHINGLE, PERCENT = 5, 75
 SAMPLES, BANDS = 128, 32
-BIN_BITS, BITS = 10, 2048
-LEAST, LEEWAY = 0.64, 4.0
+BIN_BITS, BITS = 12, 4096
+DEVIATIONS = 5.0
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(7)
@@ -116,10 +118,19 @@ def close(a: str, b: str) -> Column:
     bits = F.zip_with(F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     odd = F.least(F.aggregate(bits, F.lit(0), lambda n, x: n + x), F.lit(BITS // 2 - 1))
     differ = -BITS / 2 * F.log(1 - 2 * odd / F.lit(float(BITS)))
-    agree = (F.col(f"{a}.filled") + F.col(f"{b}.filled") - differ) / 2
+    filled = F.col(f"{a}.filled") + F.col(f"{b}.filled")
     sizes = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (100 * F.least(*sizes) >= PERCENT * F.greatest(*sizes)) & (
-        agree + LEEWAY >= LEAST * F.greatest(F.col(f"{a}.filled"), F.col(f"{b}.filled")))
+    bins, share = float(1 << BIN_BITS), PERCENT / 100
+    union = (sizes[0] + sizes[1]) / (1 + share)
+    used = bins * (1 - F.exp(-union / bins))  # bins that the union fills, by expectation
+    expected = share * used
+    apart = F.greatest(filled - 2 * expected, F.lit(0.0))
+    # Variances: of the samples drawn from the union, and of the parity count.
+    drawn = used * share * (1 - share) * F.greatest(1 - used / union, F.lit(0.0))
+    keep = F.exp(-4 * apart / BITS)
+    parity = F.greatest(BITS / 4 * (1 - keep) - apart * keep, F.lit(0.0)) / keep / 4
+    margin = DEVIATIONS * F.sqrt(drawn + parity) + 3
+    return (100 * F.least(*sizes) >= PERCENT * F.greatest(*sizes)) & ((filled - differ) / 2 >= expected - margin)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, salts: int = 16) -> DataFrame:
@@ -154,6 +165,31 @@ def confirmed(pairs: DataFrame, docs: DataFrame, salts: int = 16) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _unsettled(members: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame:
+    """(key, rep, label, mark) of the buckets whose members have several labels."""
+    named = written(members.select("key", "rep").join(labels.toDF("rep", "label"), "rep", "left").select(
+        "key", "rep", F.coalesce("label", "rep").alias("label")), "named")
+    mixed = written(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                    .where("low < high").select("key"), "mixed")
+    return written(named.join(mixed, "key").join(marks, "rep"), "open")
+
+
+def _with_leaders(rest: DataFrame, leaders: int = 8) -> DataFrame:
+    """Pairs (a, b) of bucket members with up to ``leaders`` members a bucket. The choice goes by a hash
+    of the id, so buckets with the same members choose alike."""
+    chosen = rest.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(leaders)).alias("slot")).agg(
+        F.min_by(F.struct("rep", "label", "mark"), F.xxhash64("rep", F.lit(1))).alias("x"))
+    chosen = written(chosen.select("key", F.col("x.rep").alias("a"), F.col("x.label").alias("a_label"), F.col("x.mark").alias("a_mark")), "leaders")
+    return rest.join(chosen, "key").where("rep <> a and label <> a_label").where(close("mark", "a_mark")).select("a", F.col("rep").alias("b"))
+
+
+def _with_all(rest: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket across labels."""
+    x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "label", "mark"))) for s in "ab")
+    pairs = x.join(y, "key").where("rep_a < rep_b and label_a <> label_b").where(close("mark_a", "mark_b"))
+    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+
 def clusters(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -169,17 +205,17 @@ def clusters(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     links = written(confirmed(tested, docs), "links")
     labels = written(components(links), "labels")
 
-    # Buckets that still hold several labels: all pairs across labels that the sketch allows.
-    named = members.join(labels.toDF("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    named = written(named.select("key", "rep", "label"), "named")
-    mixed = written(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "mixed")
-    open_ = written(named.join(mixed, "key").join(sketches, "rep"), "open")
-    x, y = (open_.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "label", "mark"))) for s in "ab")
-    more = x.join(y, "key").where("rep_a < rep_b and label_a <> label_b").where(close("mark_a", "mark_b"))
-    more = more.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(confirmed(written(more, "pairs"), docs), "links")
-    if more.limit(1).count():
-        labels = written(components(links.union(more)), "labels")
+    # Buckets that still hold several labels: first a few more leaders each, which a large group of
+    # near copies needs to become one label, then all pairs across labels that the sketch allows.
+    for pairing in (_with_leaders, _with_all):
+        rest = _unsettled(members, labels, sketches)
+        found = pairing(rest).distinct().join(tested, ["a", "b"], "left_anti")
+        found = written(found, "pairs")
+        tested = tested.union(found)
+        more = written(confirmed(found, docs), "links")
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = written(components(links), "labels")
 
     whole = classes.select("set_key", "rep").join(labels.toDF("rep", "label"), "rep", "left").select(
         "set_key", F.coalesce("label", "rep").alias("component"))
