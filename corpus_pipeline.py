@@ -19,8 +19,10 @@ def _only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or like none of the learned languages."""
-    found = languages.predict(docs, languages.prototypes(docs.where(languages.fold() != 2)), docs.columns)
-    return found.where((F.col("lang_pred") != languages.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    profiles = languages.prototypes(docs.where(languages.fold() != 2))
+    whole = docs.select(F.struct("*").alias("row"), "text")
+    found = languages.predict(whole, profiles, ["row"])
+    return found.where((F.col("lang_pred") != languages.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

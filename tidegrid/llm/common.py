@@ -42,6 +42,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, rows: int = 512,
             start = stop
 
 
+def unused(name: str, taken: Iterable[str]) -> str:
+    """``name``, or ``name`` with underscores that no column has."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
 def map_texts(df: DataFrame, keep: Sequence[str], text: str, fields: Sequence[T.StructField],
               start: Callable[[], Callable[[list], list]], rows: int = 512) -> DataFrame:
     """``keep`` columns plus new ``fields`` computed from whole texts, batch by batch.
@@ -54,17 +62,18 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, fields: Sequence[T.
     keep = [c for c in dict.fromkeys(keep) if c not in new]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
     kinds = [_arrow(f.dataType) for f in fields]
+    texts = unused(TEXT, keep)
     names = [*keep, *(f.name for f in fields)]
 
     def run(batches):
         work = start()
-        for part in slices(batches, TEXT, rows):
-            out = work(part.column(TEXT).to_pylist())
+        for part in slices(batches, texts, rows):
+            out = work(part.column(texts).to_pylist())
             out = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *out], names=names)
 
     ship(df.sparkSession)
-    chosen = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(TEXT))
+    chosen = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(texts))
     return chosen.mapInArrow(run, schema)
 
 

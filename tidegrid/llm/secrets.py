@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.automaton import Automaton, compile_rules, parse
-from tidegrid.llm.common import field, map_texts
+from tidegrid.llm.common import field, map_texts, unused
 
 
 @dataclass(frozen=True)
@@ -218,9 +218,10 @@ def redact(df: DataFrame, text: str = "text", n_chars: str = "n_chars", rules: t
     def start():
         return lambda texts: [[clean(t) for t in texts]]
 
-    out = map_texts(df, df.columns, text, [field("_clean_text", "string")], start)
-    changed = ~F.col("_clean_text").eqNullSafe(F.col(f"`{text}`"))
-    new = {text: F.col("_clean_text")}
+    name = unused("_clean_text", df.columns)
+    out = map_texts(df, df.columns, text, [field(name, "string")], start)
+    changed = ~F.col(name).eqNullSafe(F.col(f"`{text}`"))
+    new = {text: F.col(name)}
     if n_chars in df.columns:
-        new[n_chars] = F.when(changed, F.length("_clean_text")).otherwise(F.col(f"`{n_chars}`")).cast(df.schema[n_chars].dataType)
+        new[n_chars] = F.when(changed, F.length(name)).otherwise(F.col(f"`{n_chars}`")).cast(df.schema[n_chars].dataType)
     return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns))
