@@ -255,10 +255,9 @@ _plan_query("backtest_smoothing_layer", "smoothing_layer", train=14 * 24 + 8)
 _DAY_LAGS = {"d2": 2, "d3": 3, "d4": 4, "d5": 5, "d6": 6, "l7": 7, "l14": 14, "l21": 21, "w4": 28, "y1_1b": 364}
 _DAY_FEATURES = [*_DAY_LAGS, "day_week", "day_year", "month", "day_month", "holiday", "trend",
                  "day_week_sin1", "day_week_cos1", "day_year_sin1", "day_year_cos1", "month_sin1", "month_cos1"]
-# Every weekly origin the table allows; a model serves the origins of a year.
+# Every weekly origin the table allows, each with its own model of the published rounds.
 BOOSTED_SPEC = Backtest(train=1095 + 40, valid=40, horizon=9, score_from=3, every=7, step="day")
-BOOSTING = boosted.Boosting(rounds=20)
-YEARLY_REFIT = 52
+BOOSTING = boosted.Boosting()
 
 
 def _boosted_table(spark, folder):
@@ -266,17 +265,23 @@ def _boosted_table(spark, folder):
     return boosted.store_features(frame.select("series_id", "ts", "value", *_DAY_FEATURES))
 
 
+def _holdout_model(spark, folder, **options):
+    """The model of a single holdout, the last origin of the table."""
+    table = _boosted_table(spark, folder)
+    (last, _), = boosted.refit_origins(table, BOOSTED_SPEC, 1)[-1:]
+    return boosted.fit_window(table, _DAY_FEATURES, BOOSTED_SPEC, last, BOOSTING, **options)
+
+
 @query("f3_boosted_trees")
 def f3(spark, folder):
-    out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING, refit_every=YEARLY_REFIT)
+    out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING)
     return render(out, 6)
 
 
 @query("f4_validation_curve")
 def f4(spark, folder):
-    table = _boosted_table(spark, folder)
-    first = boosted.refit_origins(table, BOOSTED_SPEC, YEARLY_REFIT)[0][0]
-    fitted = boosted.fit_window(table, _DAY_FEATURES, BOOSTED_SPEC, first, BOOSTING)
+    """Error per round of the one holdout: the last origin."""
+    fitted = _holdout_model(spark, folder, all_rounds=True)
     # At most ``rounds`` rows: the error of each boosting round.
     rows = [(i, float(e), int(i == fitted.rounds)) for i, e in enumerate(fitted.errors, 1)]
     return spark.createDataFrame(rows, "round int, valid_error double, kept int")
@@ -284,7 +289,7 @@ def f4(spark, folder):
 
 @query("f5_boosted_prediction")
 def f5(spark, folder):
-    out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING, refit_every=YEARLY_REFIT)
+    out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING)
     rows = out.where("step >= 3").withColumns({"week": F.to_date("origin"), "hour": F.dayofweek("ts")})
     return render(metrics.daily_scores(rows, ("series_id", "week"), denominator="predicted")
                   .drop("peaks", "peaks_pred"), 6)
@@ -292,17 +297,14 @@ def f5(spark, folder):
 
 @query("f16_feature_importance")
 def f16(spark, folder):
-    _, models = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING, refit_every=YEARLY_REFIT)
+    models = boosted.fitted_groups(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING)
     return render(boosted.importance(spark, models, _DAY_FEATURES))
 
 
 @query("o4_feature_ranking")
 def o4(spark, folder):
-    """Inputs ranked by their share of the gain; one row per input."""
-    table = _boosted_table(spark, folder)
-    first = boosted.refit_origins(table, BOOSTED_SPEC, YEARLY_REFIT)[0][0]
-    fitted = boosted.fit_window(table, _DAY_FEATURES, BOOSTED_SPEC, first, boosted.Boosting(rounds=4))
-    return render(boosted.ranked(boosted.importance(spark, [fitted], _DAY_FEATURES)))
+    """Inputs ranked by their share of the gain in the holdout's model; one row per input."""
+    return render(boosted.ranked(boosted.importance(spark, [_holdout_model(spark, folder)], _DAY_FEATURES)))
 
 
 @query("backtest_boosted_residual_layer")
@@ -310,7 +312,7 @@ def boosted_layer(spark, folder):
     """Boosted trees plus the seasonal residual layer, percent errors relative to
     the prediction, as the published daily metrics are."""
     out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING,
-                                      refit_every=YEARLY_REFIT, residual_order=(1, 0, 1), residual_seasonal=(1, 0, 0), period=7)
+                                      residual_order=(1, 0, 1), residual_seasonal=(1, 0, 0), period=7)
     rows = out.where("step >= 3").withColumns({"week": F.to_date("origin"), "hour": F.dayofweek("ts")})
     return render(metrics.daily_scores(rows, ("series_id", "week"), denominator="predicted")
                   .drop("peaks", "peaks_pred"), 6)
@@ -354,14 +356,13 @@ def f15(spark, folder):
     return render(additive.additive_components(rows, model, ("weekly", "daily")), 4)
 
 
-# The boosted set-ups on the hourly table: windows of two weeks, a refit a week.
+# The boosted set-ups on the hourly table: windows of two weeks, a model for each origin.
 HOURLY_BOOSTED = Backtest(train=14 * 24 + 8, valid=40)
-HOURLY_BOOSTING = boosted.Boosting(rounds=8)
 
 
 def _hourly_boosted(frame, used, **options):
     table = boosted.store_features(frame)
-    out, _ = boosted.boosted_backtest(table, used, HOURLY_BOOSTED, HOURLY_BOOSTING, refit_every=7, **options)
+    out, _ = boosted.boosted_backtest(table, used, HOURLY_BOOSTED, BOOSTING, **options)
     return render(published.score_days(out, HOURLY_BOOSTED, denominator="predicted").drop("peaks", "peaks_pred"), 6)
 
 

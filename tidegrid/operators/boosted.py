@@ -1,15 +1,15 @@
 """Gradient boosted trees over rolling origins, one model for all series.
 
 A model is a distributed Spark ML fit over the training rows of every series. It
-is fitted for each origin, or every ``refit_every`` origins where that is asked for; the mean and spread of each series in the training window are features, so
-that one model serves series of different size.
+is fitted for each origin, or every ``refit_every`` origins where that is asked for; the mean
+and spread of each series in the training window are features, so that one model serves series
+of different size. The forecasts of each group of origins are written once its model is there.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
@@ -124,9 +124,18 @@ def _checkpoint_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def settled(errors, patience: int) -> bool:
+    """Whether ``patience`` rounds passed without improvement: later rounds cannot change ``best_round``."""
+    return len(errors) >= best_round(errors, patience) + patience
+
+
 def fit_window(table: DataFrame, features, spec: Backtest, origin: int, boosting: Boosting,
-               keys=("series_id",)) -> Fitted:
-    """Model of one origin (epoch seconds), stopped early on its validation tail."""
+               keys=("series_id",), all_rounds: bool = False) -> Fitted:
+    """Model of one origin (epoch seconds), stopped early on its validation tail.
+
+    The first trees do not depend on how many follow. So fits of growing length, up to
+    ``boosting.rounds``, end where the early stop is settled: the rounds in use are those of the
+    whole length. ``all_rounds`` fits the whole length at once, for the errors of all rounds."""
     _checkpoint_folder(table.sparkSession)
     s = spec.step_seconds
     start, end = origin - (spec.score_from + spec.train - 1) * s, origin - spec.score_from * s
@@ -136,10 +145,16 @@ def fit_window(table: DataFrame, features, spec: Backtest, origin: int, boosting
     rows = _assembled(_with_series_scale(window, head, keys), features).select("ts", "features", "value").persist()
     try:
         fit_rows = _between(rows, start, end - spec.valid * s)
-        model = boosting.estimator(fit_rows.count()).fit(fit_rows)
-        if not spec.valid:
-            return Fitted(model, [], boosting.rounds)
-        errors = list(model.evaluateEachIteration(_between(rows, end - spec.valid * s + s, end), "squared"))
+        stops = spec.valid > 0 and boosting.use_best_round and not all_rounds
+        count, length = fit_rows.count(), min(3 * boosting.patience, boosting.rounds) if stops else boosting.rounds
+        while True:
+            model = replace(boosting, rounds=length).estimator(count).fit(fit_rows)
+            if not spec.valid:
+                return Fitted(model, [], boosting.rounds)
+            errors = list(model.evaluateEachIteration(_between(rows, end - spec.valid * s + s, end), "squared"))
+            if length >= boosting.rounds or settled(errors, boosting.patience):
+                break
+            length = min(2 * length, boosting.rounds)
         keep = best_round(errors, boosting.patience) if boosting.use_best_round else boosting.rounds
         return Fitted(model, errors, keep)
     finally:
@@ -159,6 +174,17 @@ def refit_origins(table: DataFrame, spec: Backtest, refit_every: int, keys=("ser
     return out
 
 
+def fitted_groups(table: DataFrame, features, spec: Backtest, boosting: Boosting = Boosting(), refit_every: int = 1,
+                  keys=("series_id",), parallel: int = 4, use=lambda group, model: model) -> list:
+    """``use(group, model)`` of every group of origins, as soon as its model is fitted.
+    ``parallel`` groups run at a time."""
+    groups = refit_origins(table, spec, refit_every, keys)
+    if not groups:
+        raise ValueError("no origin has a full training window")
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(lambda g: use(g, fit_window(table, features, spec, g[0], boosting, keys)), groups))
+
+
 def boosted_backtest(table: DataFrame, features, spec: Backtest, boosting: Boosting = Boosting(),
                      refit_every: int = 1, residual_order=None, residual_seasonal=(1, 0, 0), period: int = 24,
                      keys=("series_id",), parallel: int = 4) -> tuple[DataFrame, list[Fitted]]:
@@ -168,15 +194,14 @@ def boosted_backtest(table: DataFrame, features, spec: Backtest, boosting: Boost
     ``table`` should be a stored frame (``store_features``), as each fit scans it.
     ``residual_order`` adds the seasonal ARMA forecast of the residuals over each
     origin's own training window. ``refit_every`` is 1 unless a wider spacing is asked for:
-    then later origins of a group use its first model. ``parallel`` fits run at a time."""
-    parts = []
-    s = spec.step_seconds
-    groups = refit_origins(table, spec, refit_every, keys)
-    with ThreadPoolExecutor(parallel) as pool:
-        models = list(pool.map(lambda g: fit_window(table, features, spec, g[0], boosting, keys), groups))
-    for (first, last), model in zip(groups, models):
-        group = Backtest(train=spec.train, horizon=spec.horizon, score_from=spec.score_from, every=spec.every,
-                         valid=spec.valid, step=spec.step)
+    then later origins of a group use its first model, and their residuals lie partly after
+    the rows that it was fitted on."""
+    spark, s = table.sparkSession, spec.step_seconds
+    group = replace(spec, expanding=False, first=None, last=None)
+    folder = fresh_path(spark, "forecasts")
+
+    def use(limits, model):
+        first, last = limits
         start = first - (spec.score_from + spec.train - 1) * s
         end = last + (spec.horizon - spec.score_from) * s
         rows = _between(table.select(*keys, "ts", "value", *features), start, end)
@@ -191,10 +216,13 @@ def boosted_backtest(table: DataFrame, features, spec: Backtest, boosting: Boost
             forecast = forecast.join(layer, [*keys, "origin", "step"])
         else:
             forecast = forecast.withColumn("residual", F.lit(0.0))
-        parts.append(forecast.withColumn("predicted", F.col("base") + F.col("residual")))
-    if not parts:
-        raise ValueError("no origin has a full training window")
-    return reduce(DataFrame.unionByName, parts), models
+        forecast = forecast.withColumn("predicted", F.col("base") + F.col("residual"))
+        path = f"{folder}/{first}"
+        forecast.write.parquet(path)
+        return path, forecast.schema, model
+
+    done = fitted_groups(table, features, spec, boosting, refit_every, keys, parallel, use)
+    return spark.read.schema(done[0][1]).parquet(*(path for path, _, _ in done)), [model for _, _, model in done]
 
 
 def importance(spark: SparkSession, models, features) -> DataFrame:
