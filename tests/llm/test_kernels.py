@@ -203,3 +203,18 @@ def test_lookup_table():
     assert moved < 0.2 * 2003
     with pytest.raises(ValueError):
         sharding.lookup_table(["a"], 100)
+
+
+def test_pages_without_an_article_stay_whole():
+    long, short, lead = "word " * 160, "less " * 20, "lead " * 20
+    cases = {
+        f"<body><div><h1>T</h1><p>{long}</p><p>{short}</p></div></body>": ["T", long, short],
+        f"<body><div><h1>T</h1><div><p>{long}</p></div><p>{short}</p></div></body>": ["T", long, short],
+        f"<body><div><h1>T</h1><p>{lead}</p><div><p>{long}</p><p>{long}</p></div><div><h2>S</h2><p>{short}</p></div></div></body>":
+            ["T", lead, long, long, "S", short],
+        f"<body><nav>menu</nav><article><p>{long}</p></article><article><p>ok</p></article>"
+        f"<article class=comment><p>{short}</p></article></body>": [long, "ok"],
+        f"<body><nav><a href=/>menu</a></nav><div><h1>T</h1><p>{long}</p></div><footer>{short}</footer></body>": ["T", long],
+    }
+    for html, lines in cases.items():
+        assert pages.main_text(html) == "\n".join(x.strip() for x in lines)

@@ -4,9 +4,11 @@ The standard library's parser streams events. A line is a block of the page: the
 between two block-level tags, with white space made one space. Each line has the ratio of
 its text to its tags; ratios are smoothed by a Gaussian, and lines at or above the
 threshold (the spread of the smoothed ratios) are clusters of content. The content region
-is the innermost element, an article or main element if there is one, that holds most of
-the selected text; all its lines stay, short ones too, but for those in menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+is every article or main element where these hold 30 percent of the selected text, else the
+innermost element that holds all selected lines and not only one line. All its lines stay,
+short ones too, but for those in menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments. No selected line is taken for an outlier: what tells a
+stray line from a headline or a lead is its element, by the same list.
 
 Defined results: null or empty html, and pages without such a line, give empty text;
 broken markup is read as far as the parser goes, unclosed elements end with their parent;
@@ -16,6 +18,7 @@ a line break tag is white space. Pages are read whole and are independent of eac
 from __future__ import annotations
 
 import re
+from functools import reduce
 from html.parser import HTMLParser
 
 import numpy as np
@@ -175,26 +178,43 @@ def selected(lines, radius: int) -> np.ndarray:
     return smooth >= smooth.std()
 
 
-def _region(lines, chosen, share: float):
+def _article(e: _Element) -> _Element | None:
+    """The outermost article or main element around ``e``."""
+    found = None
+    while e is not None:
+        if e.tag in ("article", "main"):
+            found = e
+        e = e.parent
+    return found
+
+
+def _common(a: _Element, b: _Element) -> _Element:
+    """The innermost element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
+
+
+def _region(lines, chosen):
     """The elements whose lines stay."""
     fine = [i for i, (_, _, e) in enumerate(lines) if not e.skipped]
     if not fine:
         return []
     picked = [i for i in fine if chosen[i]] or fine
-    weight: dict[_Element, int] = {}
-    for i in picked:
-        e = lines[i][2]
-        while e is not None:
-            weight[e] = weight.get(e, 0) + len(lines[i][0])
-            e = e.parent
+    article = {i: _article(lines[i][2]) for i in fine}
     total = sum(len(lines[i][0]) for i in picked)
-    articles = [e for e in weight if e.tag in ("article", "main") and not e.parent.article]
-    if sum(weight[e] for e in articles) >= 0.3 * total:
-        return articles
-    return [max((e for e in weight if weight[e] >= share * total), key=lambda e: e.depth)]
+    if sum(len(lines[i][0]) for i in picked if article[i]) >= 0.3 * total:
+        return [e for e in article.values() if e]
+    region = reduce(_common, (lines[i][2] for i in picked))
+    # One line is never a region: the heading and the paragraphs beside it belong to it.
+    around = sorted((_common(lines[i][2], region) for i in fine), key=lambda e: e.depth)
+    return [around[-2] if len(around) > 1 else region]
 
 
-def main_text(html: str | None, radius: int = 2, share: float = 0.7) -> str:
+def main_text(html: str | None, radius: int = 2) -> str:
     """The main text of one page, one line per block."""
     if not html:
         return ""
@@ -205,7 +225,7 @@ def main_text(html: str | None, radius: int = 2, share: float = 0.7) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    region = set(_region(lines, selected(lines, radius), share))
+    region = set(_region(lines, selected(lines, radius)))
     out = []
     for text, _, e in lines:
         if e.skipped:
