@@ -165,6 +165,18 @@ def test_cover_tree_links_are_exact():
     assert (a == linked[:half, half:] @ n[half:]).all() and (b == n[:half] @ linked[:half, half:]).all()
 
 
+def test_tight_groups_do_not_count_themselves():
+    rng = np.random.default_rng(5)
+    tight = [np.eye(16)[0], np.eye(16)[0] + 0.2 * np.eye(16)[1]]
+    points = np.concatenate([c + 0.003 * rng.normal(size=(200, 16)) for c in tight])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    n = rng.integers(1, 4, len(points))
+    for cosine in (0.9, 0.99, 0.9998):
+        linked = points @ points.T >= cosine
+        np.fill_diagonal(linked, False)
+        assert (cover.traverse(points, points, n, n, cosine, True)[0] == linked @ n).all()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
 <nav><ul><li><a href=/a>Menu one</a></ul></nav><div class="cookie-notice">We use cookies on this site to do things for you.</div>
 <div id="wrap">%s</div><aside>Side text that is rather long but no part of the article.</aside>

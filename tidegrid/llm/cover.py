@@ -98,16 +98,21 @@ def traverse(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, cosin
             if x != y:
                 parent[max(x, y)] = min(x, y)
 
+    def count(x, y, of_x, of_y):
+        links_a[x] += of_x
+        if not same:
+            links_b[y] += of_y
+        elif x is not y:
+            links_a[y] += of_y
+
     def compare(x, y):
         c = a[x] @ b[y].T
         linked = c >= cosine
         for i, j in np.argwhere(np.abs(c - cosine) < SLACK):
             linked[i, j] = math.fsum(a[x[i]] * b[y[j]]) >= cosine
-        if same:
-            linked &= x[:, None] != y[None, :]
-        links_a[x] += linked @ nb[y]
-        if not same:
-            links_b[y] += na[x] @ linked
+        if x is y:
+            linked &= ~np.eye(len(x), dtype=bool)
+        count(x, y, linked @ nb[y], na[x] @ linked)
         for i in np.flatnonzero(linked.any(axis=1)):
             tie(x[i], y[linked[i]] + shift)
 
@@ -120,11 +125,12 @@ def traverse(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, cosin
         if apart - x.radius - y.radius > limit + SLACK:
             continue
         if x is not y and apart + x.radius + y.radius <= limit - SLACK:
-            links_a[x.at] += nb[y.at].sum()
-            if not same:
-                links_b[y.at] += na[x.at].sum()
+            count(x.at, y.at, nb[y.at].sum(), na[x.at].sum())
             tie(x.at[0], y.at + shift)
             tie(y.at[0] + shift, x.at)
+        elif x is y and x.children:
+            # Each pair of children once, so two different nodes never share a member.
+            todo += [(c, d) for i, c in enumerate(x.children) for d in x.children[i:]]
         elif x.children and (not y.children or x.radius >= y.radius):
             todo += [(c, y) for c in x.children]
         elif y.children:
