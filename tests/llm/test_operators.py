@@ -176,6 +176,37 @@ def test_pipeline_against_its_parts(spark, small):
     assert out.groupby("doc_id").length.sum().equals(out.groupby("doc_id").doc_tokens.first())
 
 
+def test_pipeline_verdicts_are_of_rows(spark):
+    """Null ids, repeated rows and one id on two texts: the surviving rows by brute force."""
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru", "te", "sa") for b in ("ton", "rel", "mas", "vid", "pon", "gar", "nel")]
+    good = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(8)]
+    near_copy = " ".join([*good[2].split()[:-1], "last"])
+    bad = "only three words"
+    rows = [(1, good[0]), (2, good[1]), (None, good[3]), (None, good[3]), (None, bad), (5, good[4]), (5, good[4]), (6, good[5]), (6, bad),
+            (9, good[2]), (8, near_copy), (None, good[2]), (10, good[6]), (10, good[7]), (11, None), (None, None), (None, good[0])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+    def left(df):
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    fine = [r for r in rows if len((r[1] or "").split()) >= 20]
+    assert left(corpus_pipeline.quality_rules(spark, docs, "")) == sorted(fine, key=str)
+
+    def shingles(text):
+        w = (text or "").split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    kept = []
+    for row in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        own = shingles(row[1])
+        if not any(_similar(own, shingles(t)) if own else (row[0] is not None and i == row[0] and not shingles(t)) for i, t in kept):
+            kept.append(row)
+    assert left(corpus_pipeline.near_duplicates(spark, docs, "")) == sorted(kept, key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_sketch_passes_pairs_at_the_threshold(spark):
     rng = np.random.default_rng(8)
     rows = []

@@ -13,12 +13,13 @@ slack keeps rows that are within a harmless distance of the median whatever the
 
 Defined results: null text has no words and fails the base rules; null language or source is
 a group of its own, apart from empty text; undefined ratios are 0; ties at a fence are kept.
-An empty table gives an empty result. Extra columns of the table are not read.
+An empty table gives an empty result. Extra columns of the table are not read unless carried along.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -130,11 +131,11 @@ def thresholds(rows: DataFrame, spread: float = 6.0, min_rows: int = 200, size:
 
 
 def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
-          spread: float = 6.0, min_rows: int = 200) -> DataFrame:
-    """doc_id, the counts, the measures, base_failed and kept of every document."""
+          spread: float = 6.0, min_rows: int = 200, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the counts, the measures, base_failed and kept of every document, and the columns ``carry``."""
     rows = measured(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
-                              *[k for n, c in (("lang", lang), ("source", source)) for k in _key_as(c, n)]),
-                    ["doc_id", "_lang", "_source"])
+                              *[k for n, c in (("lang", lang), ("source", source)) for k in _key_as(c, n)], *carry),
+                    ["doc_id", "_lang", "_source", *carry])
     rows = written(rows.withColumns(_measures()), "quality-counts")
     fences = written(thresholds(rows, spread, min_rows), "quality-fences")
     if fences.count() <= MAX_BROADCAST_GROUPS:
@@ -146,7 +147,7 @@ def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return joined.withColumn("base_failed", failed).withColumn(
         "kept", ~failed & F.coalesce(fine, F.lit(True))).select(
-        "doc_id", *COUNTS[:5], "base_failed", "kept", *MEASURES)
+        "doc_id", *COUNTS[:5], "base_failed", "kept", *MEASURES, *carry)
 
 
 def _key_as(column: str, name: str) -> list[Column]:
