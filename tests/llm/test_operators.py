@@ -147,6 +147,15 @@ def test_vectors_of_all_kinds(spark):
     assert cover.clusters(df.limit(0)).count() == 0
 
 
+def test_more_than_a_thousand_lengths_and_languages(spark):
+    vectors = spark.range(2060).selectExpr(
+        "id AS vec_id", "array_repeat(if(id < 1030, 1.0D, 2.0D), CAST(id % 1030 + 1 AS INT)) AS embedding")
+    got = cover.clusters(vectors).toPandas().set_index("vec_id")
+    assert (got.n_links == 1).all() and (got.component_id == got.index % 1030).all()
+    docs = spark.range(1010).selectExpr("concat('l', id) AS lang", "concat('text ', conv(id * 7919, 10, 36)) AS text").coalesce(1)
+    assert len(languages.prototypes(docs, dimensions=64)) == 1010
+
+
 def test_conversations_of_all_kinds(spark):
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", None), (1, 2, "assistant", "b"), (None, None, None, None), (2, None, "assistant", "<|im_end|>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'x' AS formatted")

@@ -20,6 +20,7 @@ rows link with each other; a null id has no component; an empty table gives an e
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,11 +160,16 @@ def clusters(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
         "v", F.when(F.col("fine"), F.col("v"))), "vectors")
     points = written(rows.where("fine").groupBy("point").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.min_by("v", "vec_id").alias("v")), "points")
-    sizes = [r[0] for r in points.select(F.size("v")).distinct().limit(1000).collect()]
-    found = None
-    for size in sizes:
-        part = _block_links(points.where(F.size("v") == size), cosine, max_nodes, block)
-        found = part if found is None else found.unionByName(part)
+    # The only length and those of more than a block of vectors have upper levels; all others are one job, a group each.
+    points = points.withColumn("size", F.size("v"))
+    sizes = written(points.groupBy("size").agg(F.count("*").alias("n")), "sizes")
+    one = sizes.count() == 1
+    large = [r["size"] for r in sizes.where((F.col("n") > block) | F.lit(one)).select("size").collect()]
+    parts = [written(_block_links(points.where(F.col("size") == size), cosine, max_nodes, block), "size-links") if len(large) > 1
+             else _block_links(points.where(F.col("size") == size), cosine, max_nodes, block) for size in large]
+    if not one and sizes.where(F.col("n") <= block).limit(1).count():
+        parts.append(_whole_links(points.where(~F.col("size").isin(large)) if large else points, cosine))
+    found = reduce(DataFrame.unionByName, parts) if parts else None
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.col("vec_id").isNotNull().alias("kept"))
@@ -177,6 +183,19 @@ def clusters(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def _whole_links(points: DataFrame, cosine: float) -> DataFrame:
+    """(rep, links, root) of each vector that links, where the vectors of a length are one block."""
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+        unit = _unit(table.column("v").combine_chunks())
+        links, _, roots = traverse(unit, unit, n, n, cosine, True)
+        keep = links > 0
+        return pa.table({"rep": rep[keep], "links": links[keep], "root": rep[roots[keep]]})
+
+    return points.select("size", "rep", "n", "v").groupBy("size").applyInArrow(meet, "rep long, links long, root long")
+
+
 def _block_links(points: DataFrame, cosine: float, max_nodes: int, block: int) -> DataFrame:
     """(rep, links, root) of each vector that links within a pair of blocks."""
     limit = math.sqrt(2 - 2 * cosine)

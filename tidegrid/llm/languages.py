@@ -109,12 +109,12 @@ def bundles(texts: list[str | None], trigrams: Trigrams, block: int = 4096) -> n
     return out
 
 
-def prototypes(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS,
-               max_languages: int = 1000) -> dict[str, list[float]]:
+def prototypes(df: DataFrame, text: str = "text", lang: str = "lang",
+               dimensions: int = DIMENSIONS) -> dict[str, list[float]]:
     """Unit prototype of each language, bundled over all rows of ``df``.
 
     Tasks send one sum per language, added up in two steps. Only the prototypes reach the
-    driver: at most ``max_languages``, those with the most rows.
+    driver, one vector for each language of the table.
     """
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias(TEXT))
@@ -145,9 +145,8 @@ def prototypes(df: DataFrame, text: str = "text", lang: str = "lang", dimensions
         return g.agg(F.sum("n").alias("n"), Summarizer.sum(F.col("total")).alias("total"))
 
     whole = add(add(parts.groupBy("lang", "salt")).groupBy("lang"))
-    best = whole.orderBy(F.col("n").desc(), "lang").limit(max_languages)
     out = {}
-    for row in best.select("lang", vector_to_array("total").alias("total")).collect():
+    for row in whole.select("lang", vector_to_array("total").alias("total")).toLocalIterator():
         v = np.array(row["total"])
         norm = np.linalg.norm(v)
         if norm:
