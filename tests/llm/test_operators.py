@@ -169,6 +169,14 @@ def test_shards_are_files(spark, edges, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(EDGES)
 
 
+def test_sharding_query_writes_whole_rows(spark, small):
+    files = QUERIES["op4_sharding"](spark, small).inputFiles()
+    assert files and all("/shard=" in f for f in files)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    columns = [c for c in docs.columns if c not in ("slot", "shard")]
+    assert spark.read.parquet(*files).select(columns).exceptAll(docs.select(columns)).count() == 0
+
+
 def test_pipeline_against_its_parts(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     at = docs

@@ -8,6 +8,7 @@ import public_tokenizers
 
 from tidegrid.llm import chat, chunks, cover, languages, near, packing, pages, quality, secrets, sharding
 from tidegrid.llm.common import table
+from tidegrid.session import fresh_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,7 +19,8 @@ QUERIES = {
     "op1_language_id": lambda spark, d: languages.identify(table(spark, d, "documents")),
     "op2_sentencepiece": lambda spark, d: chunks.digests(table(spark, d, "documents"), PIECES),
     "op3_quality_rules": lambda spark, d: quality.judge(table(spark, d, "documents")),
-    "op4_sharding": lambda spark, d: sharding.place(table(spark, d, "documents").select("doc_id"), SHARDS),
+    "op4_sharding": lambda spark, d: sharding.write_shards(
+        table(spark, d, "documents"), fresh_path(spark, "shards"), SHARDS).select("doc_id", "slot", "shard"),
     "op5_secret_scan": lambda spark, d: secrets.digests(table(spark, d, "documents")),
     "op6_html_extraction": lambda spark, d: pages.page_texts(table(spark, d, "pages")),
     "op7_minhash_dedup": lambda spark, d: near.clusters(table(spark, d, "documents")),

@@ -71,9 +71,10 @@ def place(df: DataFrame, shards: Sequence[str] | Mapping[str, int], key: str = "
 
 
 def write_shards(df: DataFrame, path: str, shards: Sequence[str] | Mapping[str, int], key: str = "doc_id",
-                 salt: int = 4, size: int = SIZE) -> None:
-    """Parquet folders ``shard=N``, each written by at most ``salt`` tasks."""
+                 salt: int = 4, size: int = SIZE) -> DataFrame:
+    """Parquet folders ``shard=N`` of whole rows, each written by at most ``salt`` tasks; the rows as read back."""
     n = len(shards)
-    placed = place(df, shards, key, size).drop("slot")
-    (placed.withColumn("_salt", F.pmod(F.xxhash64(*(c for c in placed.columns if c != "shard")), F.lit(salt)))
+    placed = place(df, shards, key, size)
+    (placed.withColumn("_salt", F.pmod(F.xxhash64(*(c for c in placed.columns if c not in ("shard", "slot"))), F.lit(salt)))
      .repartition(n * salt, "shard", "_salt").drop("_salt").write.partitionBy("shard").parquet(path))
+    return df.sparkSession.read.schema(placed.schema).parquet(path)
