@@ -70,11 +70,22 @@ class Ids:
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
-        if self.ranks is None or any(s in text for s in self.special):
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        else:
-            ids = self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
-        return ids.tobytes() + self.end
+        if any(s in text for s in self.special):
+            return self._by_tokenizer(text, False) + self.end
+        return self.plain(text) + self.end
+
+    def plain(self, text: str) -> bytes:
+        """Ids without an end id; strings of special tokens are plain text."""
+        if self.ranks is not None:
+            try:
+                return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # its split backtracks too far over very long white space
+                pass
+        return self._by_tokenizer(text, True)
+
+    def _by_tokenizer(self, text: str, plain: bool) -> bytes:
+        self.tokenizer.encode_special_tokens = plain
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class Packer:
