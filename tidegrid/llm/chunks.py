@@ -2,9 +2,9 @@
 
 A chunk is a run of whitespace markers and the characters up to the next marker. No piece
 of the model crosses the start of a chunk (``check_model`` proves it), so each distinct
-chunk is segmented once a table and its ids are joined back by position. Decoding joins the
+chunk is segmented once a task's table and its ids are joined back by position. Decoding joins the
 bytes of the pieces. The chunk table belongs to a task and starts afresh at ``bound``
-entries, so memory stays bounded.
+characters, so memory stays bounded; chunks too long to come again are not kept at all.
 
 Defined results: null text counts as empty; empty text gives the end id alone and decodes
 to the empty text. Repeated rows and ties need no care: rows are independent.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tidegrid.llm.common import field, lists, map_texts
 
 MARKER = "▁"
+LONG, ENTRY = 256, 16  # Longest chunk that is kept; characters that an entry counts besides its own.
 CHUNK = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 
 
@@ -48,8 +49,8 @@ def check_model(model: str) -> None:
 class ChunkTable:
     """Distinct chunks, without their first marker, and the ids of each as little-endian int32 bytes."""
 
-    def __init__(self, model: str, bound: int = 300_000):
-        self.processor, self.bound = load(model), bound
+    def __init__(self, model: str, bound: int = 8_000_000):
+        self.processor, self.bound, self.size = load(model), bound, 0
         self.marker = np.array([self.processor.piece_to_id(MARKER)], np.int32).tobytes()
         self.end = np.array([self.processor.eos_id()], np.int32).tobytes()
         self.starts = np.array([self.processor.id_to_piece(i).startswith(MARKER)
@@ -85,11 +86,18 @@ class ChunkTable:
         docs = [self.cut(t) for t in texts]
         known = self.known
         new = set().union(*docs).difference(known)
-        if len(known) + len(new) > self.bound:
+        added = sum(map(len, new)) + ENTRY * len(new)
+        if self.size + added > self.bound:
             known.clear()
             new = set().union(*docs)
+            self.size, added = 0, sum(map(len, new)) + ENTRY * len(new)
         self.segment(list(new))
-        return [b"".join([*map(known.__getitem__, doc), self.end]) for doc in docs]
+        self.size += added
+        out = [b"".join([*map(known.__getitem__, doc), self.end]) for doc in docs]
+        for long in [c for c in new if len(c) > LONG]:
+            del known[long]
+            self.size -= len(long) + ENTRY
+        return out
 
 
 class PieceTable:
