@@ -51,7 +51,7 @@ def unused(name: str, taken: Iterable[str]) -> str:
 
 
 def map_texts(df: DataFrame, keep: Sequence[str], text: str, fields: Sequence[T.StructField],
-              start: Callable[[], Callable[[list], list]], rows: int = 512) -> DataFrame:
+              start: Callable[[], Callable[[list], list]], rows: int = 512, size: int = 4 << 20) -> DataFrame:
     """``keep`` columns plus new ``fields`` computed from whole texts, batch by batch.
 
     ``start()`` runs once a task and returns a function from a list of texts (None for
@@ -67,7 +67,7 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, fields: Sequence[T.
 
     def run(batches):
         work = start()
-        for part in slices(batches, texts, rows):
+        for part in slices(batches, texts, rows, size):
             out = work(part.column(texts).to_pylist())
             out = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *out], names=names)

@@ -6,7 +6,7 @@ import json
 
 import public_tokenizers
 
-from tidegrid.llm import chat, chunks, cover, languages, near, packing, pages, quality, secrets, sharding
+from tidegrid.llm import alignment, chat, chunks, cover, languages, near, packing, pages, quality, secrets, sharding
 from tidegrid.llm.common import table
 from tidegrid.session import fresh_path
 
@@ -27,6 +27,7 @@ QUERIES = {
     "op8_embedding_dedup": lambda spark, d: cover.clusters(table(spark, d, "embeddings")),
     "op9_chat_format": lambda spark, d: chat.read_back(chat.format_turns(chat.with_probe(table(spark, d, "conversations")), BYTES)),
     "op10_packing": lambda spark, d: packing.pieces(table(spark, d, "documents"), BYTES),
+    "op11_token_alignment": lambda spark, d: alignment.statistics(table(spark, d, "documents"), BYTES, PIECES),
 }
 
 _SHARD_SQL = f"""SELECT doc_id, slot, CAST(t.entries[slot + 1] AS INT) AS shard FROM (
