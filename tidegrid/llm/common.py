@@ -90,9 +90,10 @@ def field(name: str, kind: str) -> T.StructField:
         "boolean": T.BooleanType(), "binary": T.BinaryType()}[kind])
 
 
-def lists(raw: bytes | np.ndarray, lengths: Sequence[int], kind=np.int32) -> pa.ListArray:
+def lists(raw: bytes | np.ndarray | pa.Array, lengths: Sequence[int], kind=np.int32) -> pa.ListArray:
     """A list column from one flat buffer and the length of each list."""
     flat = np.frombuffer(raw, kind) if isinstance(raw, bytes) else raw
+    flat = flat if isinstance(flat, pa.Array) else pa.array(flat)
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets), flat)

@@ -6,7 +6,7 @@ import json
 
 import public_tokenizers
 
-from tidegrid.llm import alignment, chat, chunks, cover, languages, near, packing, pages, quality, secrets, sharding
+from tidegrid.llm import alignment, chat, chunks, cover, languages, lexical, near, packing, pages, quality, secrets, sharding
 from tidegrid.llm.common import table
 from tidegrid.session import fresh_path
 
@@ -28,6 +28,7 @@ QUERIES = {
     "op9_chat_format": lambda spark, d: chat.read_back(chat.format_turns(chat.with_probe(table(spark, d, "conversations")), BYTES)),
     "op10_packing": lambda spark, d: packing.pieces(table(spark, d, "documents"), BYTES),
     "op11_token_alignment": lambda spark, d: alignment.statistics(table(spark, d, "documents"), BYTES, PIECES),
+    "op12_lexical_search": lambda spark, d: lexical.ranked(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
 _SHARD_SQL = f"""SELECT doc_id, slot, CAST(t.entries[slot + 1] AS INT) AS shard FROM (
@@ -67,4 +68,17 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(32 + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT)
     AS formatted_chars FROM turns GROUP BY conv_id"""
 
-ORACLES = {"op4_sharding": _SHARD_SQL, "op7_minhash_dedup": _NEAR_SQL, "op8_embedding_dedup": _COVER_SQL, "op9_chat_format": _CHAT_SQL}
+_LEXICAL_SQL = r"""WITH words AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+total AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM words WHERE len(w) > 0),
+counts AS (SELECT doc_id, d, n, term, count(*) AS tf FROM (SELECT doc_id, d, len(w) AS n, unnest(w) AS term FROM words) GROUP BY ALL),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(total.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM counts, total WHERE term IN (SELECT term FROM asked) GROUP BY term),
+scores AS (SELECT item_id, doc_id, d, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * counts.n * total.n) // total.l)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN counts USING (term), total GROUP BY item_id, doc_id, d)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20"""
+
+ORACLES = {"op4_sharding": _SHARD_SQL, "op7_minhash_dedup": _NEAR_SQL, "op8_embedding_dedup": _COVER_SQL, "op9_chat_format": _CHAT_SQL, "op12_lexical_search": _LEXICAL_SQL}
