@@ -81,7 +81,7 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow(kind.elementType))
     return {T.StringType: pa.string(), T.LongType: pa.int64(), T.IntegerType: pa.int32(),
-            T.DoubleType: pa.float64(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}[type(kind)]
+            T.DoubleType: pa.float64(), T.FloatType: pa.float32(), T.BooleanType: pa.bool_(), T.BinaryType: pa.binary()}[type(kind)]
 
 
 def field(name: str, kind: str) -> T.StructField:

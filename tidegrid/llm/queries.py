@@ -6,7 +6,7 @@ import json
 
 import public_tokenizers
 
-from tidegrid.llm import alignment, chat, chunks, cover, languages, lexical, near, packing, pages, quality, secrets, sharding
+from tidegrid.llm import alignment, chat, chunks, classifier, cover, languages, lexical, near, packing, pages, quality, secrets, sharding
 from tidegrid.llm.common import table
 from tidegrid.session import fresh_path
 
@@ -29,6 +29,7 @@ QUERIES = {
     "op10_packing": lambda spark, d: packing.pieces(table(spark, d, "documents"), BYTES),
     "op11_token_alignment": lambda spark, d: alignment.statistics(table(spark, d, "documents"), BYTES, PIECES),
     "op12_lexical_search": lambda spark, d: lexical.ranked(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op13_quality_classifier": lambda spark, d: classifier.classify(table(spark, d, "documents"), table(spark, d, "labels")),
 }
 
 _SHARD_SQL = f"""SELECT doc_id, slot, CAST(t.entries[slot + 1] AS INT) AS shard FROM (
