@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from tidegrid.llm.chunks import MARKER, ChunkTable, check_model, load
 from tidegrid.llm.common import field, lists, map_texts, written
 from tidegrid.llm.packing import Ids, byte_alphabet
-from tidegrid.session import ship
 
 DOCUMENT_BITS = 40  # A key holds the document's place in its slice above the byte offset.
 LISTS = ("a_ids", "b_ids", "a_sizes", "b_sizes")
@@ -169,9 +168,9 @@ def _taken(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pc.list_flatten(column).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
-def digest(known: Sides, part: pa.RecordBatch) -> list:
-    """n_a, n_b, n_groups, n_links, groups_sha256 and the links (places in ``Sides.pairs``) of aligned rows."""
-    (a, a_at), (b, b_at), (a_sizes, groups), (b_sizes, _) = (_taken(part.column(name)) for name in LISTS)
+def digest(known: Sides, aligned: Sequence[pa.ListArray]) -> list:
+    """n_a, n_b, n_groups, n_links, groups_sha256 and the links (places in ``Sides.pairs``) of the LISTS."""
+    (a, a_at), (b, b_at), (a_sizes, groups), (b_sizes, _) = map(_taken, aligned)
     a_end, b_end = np.cumsum(a_sizes, dtype=np.int64), np.cumsum(b_sizes, dtype=np.int64)
     pairs = pa.array(a[a_end - 1].astype(np.int64) * known.n_b + b[b_end - 1]).dictionary_encode()
     links = np.searchsorted(known.pairs, pairs.dictionary.to_numpy())[pairs.indices.to_numpy()].astype(np.int32)
@@ -193,19 +192,17 @@ def digest(known: Sides, part: pa.RecordBatch) -> list:
     return [*(pa.array(x.astype(np.int64)) for x in (np.diff(a_at), np.diff(b_at), count, count)), pa.array(sha), lists(links, count)]
 
 
-def linked(aligned: DataFrame, a: str, b: str, keep: Sequence[str]) -> DataFrame:
-    """``keep``, the counts and the digest of aligned rows, and ``links``, places in ``Sides.pairs``."""
-    schema = aligned.select(*keep).schema
-    for name, kind in (("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("n_links", "long"), ("groups_sha256", "string"), ("links", "array<int>")):
-        schema = schema.add(field(name, kind))
+LINKED = (("n_a", "long"), ("n_b", "long"), ("n_groups", "long"), ("n_links", "long"), ("groups_sha256", "string"), ("links", "array<int>"))
 
-    def run(batches):
-        known = sides(a, b)
-        for part in _parts(batches, "a_ids"):
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *digest(known, part)], names=schema.names)
 
-    ship(aligned.sparkSession)
-    return aligned.select(*keep, *LISTS).mapInArrow(run, schema)
+def linked(df: DataFrame, a: str, b: str, keep: Sequence[str], text: str = "text") -> DataFrame:
+    """``keep``, the counts and the digest of every aligned text, and ``links``, places in ``Sides.pairs``."""
+    check_model(b)
+
+    def start():
+        work = Aligner(a, b)
+        return lambda texts: digest(work.sides, work(texts))
+    return map_texts(df, keep, text, [field(*x) for x in LINKED], start, size=1 << 20)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -245,6 +242,6 @@ def scored(rows: DataFrame, counts: DataFrame, a: str, b: str) -> DataFrame:
 def statistics(df: DataFrame, a: str, b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document."""
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = written(linked(align(docs, a, b, ["doc_id"]), a, b, ["doc_id"]), "alignment")
+    rows = written(linked(docs, a, b, ["doc_id"]), "alignment")
     return scored(rows, pair_counts(rows), a, b).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
