@@ -61,7 +61,7 @@ def main() -> int:
     args = parser.parse_args()
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="oracle-check-"))
-             .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
+             .config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -35,7 +35,7 @@ def test_boosted_years_write_metrics_and_logs(spark, series, tmp_path):
     for c in features.FINAL_WEATHER:
         days = days.withColumn(c, 60 + F.dayofmonth("day") * 1.0)
     metrics, log = flows.boosted_years(
-        load, days, "day", [2020], str(tmp_path), refit_every=10, boosting=boosted.Boosting(rounds=2, depth=2),
+        load, days, "day", [2020], str(tmp_path), boosting=boosted.Boosting(rounds=2, depth=2),
         spec=Backtest(train=24 * 20 + 8, valid=40))
     scores = spark.read.csv(metrics, header=True, schema="series_id string, day date, mape double, rmse double, "
                                                          "peak string, peak_pred string, year int", nullValue="NA")

@@ -10,9 +10,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tests.conftest import hours
-from tidegrid.catalogue import QUERIES
 from tidegrid.functions.solve import lag_set, seasonal_arma_forecast, stable
-from tidegrid.operators import (additive, autoregression, boosted, diagnostics, ets, features, lags, linear,
+from tidegrid.operators import (additive, autoregression, diagnostics, ets, features, lags, linear,
                                 smoothing)
 from tidegrid.plans import published
 from tidegrid.plans.backtest import Backtest, horizon_rows, origin_list
@@ -128,39 +127,6 @@ def test_no_look_ahead(load, name):
     assert len(forecast(load)) == 80
 
 
-def test_boosted_forecast_does_not_look_ahead(load):
-    spec = Backtest(train=SPEC.train, valid=32, first="2020-01-15", last="2020-01-15")
-    boosting = boosted.Boosting(rounds=3, depth=2)
-    cut = F.to_timestamp(F.lit("2020-01-14 07:00:00"))
-    changed = load.withColumn("value", F.when(F.col("ts") > cut, F.col("value") * 3 + 7).otherwise(F.col("value")))
-
-    def forecast(rows):
-        table = boosted.store_features(features.load_frame(rows, lags={"l2": 48}, need=[]).select(
-            "series_id", "ts", "value", "l2", "hour"))
-        out, models = boosted.boosted_backtest(table, ["l2", "hour"], spec, boosting, residual_order=(1, 0, 0),
-                                               residual_seasonal=(0, 0, 0))
-        assert len(models[0].errors) == 3
-        return [r["predicted"] for r in out.orderBy("series_id", "step").collect()]
-
-    assert forecast(load) == pytest.approx(forecast(changed), rel=1e-9)
-
-
-def test_boosted_trees_take_missing_inputs(load):
-    """Where the input is missing the value is another; trees must tell them apart."""
-    rows = load.where("series_id = 'a'").withColumn("h", F.when(F.hour("ts") >= 12, F.lit(1.0))).withColumn(
-        "value", F.when(F.col("h").isNull(), 10.0).otherwise(50.0))
-    spec = Backtest(train=SPEC.train, first="2020-01-15", last="2020-01-15")
-    out, _ = boosted.boosted_backtest(boosted.store_features(rows.select("series_id", "ts", "value", "h")), ["h"],
-                                      spec, boosted.Boosting(rounds=40, rate=0.3, row_share=1.0))
-    assert out.agg(F.max(F.abs(F.col("actual") - F.col("predicted")))).first()[0] < 0.5
-
-
-def test_best_round_waits_for_patience():
-    assert boosted.best_round([5, 4, 3, 4, 4, 2, 9], patience=2) == 3
-    assert boosted.best_round([5, 4, 3, 4, 4, 2, 9], patience=3) == 6
-    assert boosted.best_round([3.0], patience=1) == 1
-
-
 def test_smoothing_equals_the_recursion(series, load):
     tiny = series({"t": hours("2020-01-01 00:00:00", [1, 2, 3])})
     got = smoothing.smoothing_levels(tiny, 0.1, "hour").orderBy("ts").collect()
@@ -331,49 +297,3 @@ def test_difference_order_tells_a_walk_from_noise(series):
     assert got == {"noise": 0, "walk": 1}
     strong = diagnostics.seasonal_strength(series({"s": hours("2020-01-01 00:00:00", wave(480, noise=1.0))}), 24, "hour").first()
     assert strong["nsdiffs"] == 1 and strong["strength"] > 0.9
-
-
-def test_staged_fit_equals_the_whole_length(load):
-    rows = features.load_frame(load, lags={"l2": 48}, need=[]).select(
-        "series_id", "ts", "value", "l2", F.hour("ts").alias("hour"))
-    table = boosted.store_features(rows)
-    spec = Backtest(train=10 * 24, valid=24)
-    origin = boosted.refit_origins(table, spec, 1)[0][0]
-    for rate in (0.1, 1.0):
-        boosting = boosted.Boosting(rounds=14, rate=rate, patience=2, depth=2)
-        staged, whole = (boosted.fit_window(table, ["l2", "hour"], spec, origin, boosting, all_rounds=x) for x in (False, True))
-        assert staged.rounds == whole.rounds and staged.errors == whole.errors[:len(staged.errors)]
-        assert len(whole.errors) == 14 and staged.importances() == whole.importances()
-    assert len(staged.errors) < 14
-
-
-BOOSTED_QUERIES = {"f3_boosted_trees": 194, "f5_boosted_prediction": 194, "f16_feature_importance": 194,
-                   "backtest_boosted_residual_layer": 194, "f4_validation_curve": 1, "o4_feature_ranking": 1,
-                   "backtest_final_model": 15, "backtest_boosted_weekday_columns": 15, "backtest_boosted_dummies": 15}
-
-
-@pytest.mark.parametrize("name", BOOSTED_QUERIES)
-def test_registered_boosted_queries_fit_every_origin(spark, monkeypatch, name):
-    """Each origin has its own fit, with the published settings; f4 and o4 take the last origin."""
-    seen = []
-
-    class Stop(Exception):
-        pass
-
-    def fit(table, used, spec, origin, boosting, *rest, **options):
-        seen.append((origin, boosting))
-        if len(seen) >= BOOSTED_QUERIES[name]:
-            raise Stop
-        return None
-
-    def groups(table, used, spec, boosting=boosted.Boosting(), refit_every=1, keys=("series_id",), parallel=4, use=None):
-        found = boosted.refit_origins(table, spec, refit_every, keys)
-        for first, last in found:
-            assert first == last
-            fit(table, used, spec, first, boosting)
-
-    monkeypatch.setattr(boosted, "fit_window", fit)
-    monkeypatch.setattr(boosted, "fitted_groups", groups)
-    with pytest.raises(Stop):
-        QUERIES[name](spark, "/root/testdata/sf0.01")
-    assert len({o for o, _ in seen}) == BOOSTED_QUERIES[name] and {b for _, b in seen} == {boosted.Boosting()}

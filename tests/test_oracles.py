@@ -11,12 +11,7 @@ def con(small):
     return connect(small)
 
 
-# Variants whose parts test_models and test_flows cover; oracle_check runs them all.
-SLOW = {"f4_validation_curve", "f5_boosted_prediction", "f16_feature_importance", "f13_recursive_autoregression",
-        "backtest_boosted_residual_layer", "backtest_boosted_weekday_columns", "backtest_boosted_dummies"}
-
-
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, small, name):
     assert compare(spark, con, name, QUERIES[name], ORACLES.get(name), small) is None
 

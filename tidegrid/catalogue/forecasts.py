@@ -265,57 +265,143 @@ def _boosted_table(spark, folder):
     return boosted.store_features(frame.select("series_id", "ts", "value", *_DAY_FEATURES))
 
 
-def _holdout_model(spark, folder, **options):
-    """The model of a single holdout, the last origin of the table."""
-    table = _boosted_table(spark, folder)
-    (last, _), = boosted.refit_origins(table, BOOSTED_SPEC, 1)[-1:]
-    return boosted.fit_window(table, _DAY_FEATURES, BOOSTED_SPEC, last, BOOSTING, **options)
+_daily_models: dict = {}
+
+
+def _boosted_daily(spark, folder):
+    """The daily table and the models of all weekly origins: fitted and stored once a session, read by several queries."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _daily_models:
+        table = _boosted_table(spark, folder)
+        _daily_models[key] = table, boosted.fit_origins(table, _DAY_FEATURES, BOOSTED_SPEC, BOOSTING)
+    return _daily_models[key]
+
+
+def _last(models):
+    """The model of the last origin."""
+    return models.join(models.agg(F.max("_o").alias("_o")), "_o")
+
+
+def _week_scores(out):
+    rows = out.where("step >= 3").withColumns({"week": F.to_date("origin"), "hour": F.dayofweek("ts")})
+    return metrics.daily_scores(rows, ("series_id", "week"), denominator="predicted").drop("peaks", "peaks_pred")
 
 
 @query("f3_boosted_trees")
 def f3(spark, folder):
-    out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING)
-    return render(out, 6)
+    table, models = _boosted_daily(spark, folder)
+    return render(boosted.forecasts(table, _DAY_FEATURES, BOOSTED_SPEC, models, BOOSTING), 6)
 
 
 @query("f4_validation_curve")
 def f4(spark, folder):
-    """Error per round of the one holdout: the last origin."""
-    fitted = _holdout_model(spark, folder, all_rounds=True)
-    # At most ``rounds`` rows: the error of each boosting round.
-    rows = [(i, float(e), int(i == fitted.rounds)) for i, e in enumerate(fitted.errors, 1)]
-    return spark.createDataFrame(rows, "round int, valid_error double, kept int")
+    """Error per round of every origin, up to the round where its early stop is settled."""
+    return render(boosted.validation_curve(_boosted_daily(spark, folder)[1]))
 
 
 @query("f5_boosted_prediction")
 def f5(spark, folder):
-    out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING)
-    rows = out.where("step >= 3").withColumns({"week": F.to_date("origin"), "hour": F.dayofweek("ts")})
-    return render(metrics.daily_scores(rows, ("series_id", "week"), denominator="predicted")
-                  .drop("peaks", "peaks_pred"), 6)
+    table, models = _boosted_daily(spark, folder)
+    return render(_week_scores(boosted.forecasts(table, _DAY_FEATURES, BOOSTED_SPEC, models, BOOSTING)), 6)
 
 
 @query("f16_feature_importance")
 def f16(spark, folder):
-    models = boosted.fitted_groups(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING)
-    return render(boosted.importance(spark, models, _DAY_FEATURES))
+    return render(boosted.importance(_boosted_daily(spark, folder)[1], _DAY_FEATURES, BOOSTING))
 
 
 @query("o4_feature_ranking")
 def o4(spark, folder):
-    """Inputs ranked by their share of the gain in the holdout's model; one row per input."""
-    return render(boosted.ranked(boosted.importance(spark, [_holdout_model(spark, folder)], _DAY_FEATURES)))
+    """Inputs ranked by their share of the gain in the last origin's model; one row per input."""
+    return render(boosted.ranked(boosted.importance(_last(_boosted_daily(spark, folder)[1]), _DAY_FEATURES, BOOSTING)))
 
 
 @query("backtest_boosted_residual_layer")
 def boosted_layer(spark, folder):
     """Boosted trees plus the seasonal residual layer, percent errors relative to
     the prediction, as the published daily metrics are."""
-    out, _ = boosted.boosted_backtest(_boosted_table(spark, folder), _DAY_FEATURES, BOOSTED_SPEC, BOOSTING,
-                                      residual_order=(1, 0, 1), residual_seasonal=(1, 0, 0), period=7)
-    rows = out.where("step >= 3").withColumns({"week": F.to_date("origin"), "hour": F.dayofweek("ts")})
-    return render(metrics.daily_scores(rows, ("series_id", "week"), denominator="predicted")
-                  .drop("peaks", "peaks_pred"), 6)
+    table, models = _boosted_daily(spark, folder)
+    out = boosted.forecasts(table, _DAY_FEATURES, BOOSTED_SPEC, models, BOOSTING, (1, 0, 1), (1, 0, 0), period=7)
+    return render(_week_scores(out), 6)
+
+
+# Two rounds of stumps on inputs of few values: a boosted model that plain SQL can grow, for every origin.
+_STUMPS = boosted.Boosting(rounds=2, depth=1, row_share=1.0, column_share=1.0)
+_STUMP_FEATURES = ["day_week", "month", "day_month"]
+
+
+def _stump_round(k: int) -> str:
+    """Histograms of all inputs, their cumulative sums, the best cut of each origin, new predictions p{k}."""
+    return f"""h{k} AS (SELECT o, i, v, sum(p{k - 1} - value) AS g, count(*) AS n FROM (SELECT o, p{k - 1}, value,
+    unnest([0, 1, 2, 3, 4]) AS i, unnest([f0, f1, f2, m, s]) AS v FROM r{k - 1} WHERE d <= o - 43) GROUP BY ALL),
+c{k} AS (SELECT o, i, v, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER a AS gt, sum(n) OVER a AS nt FROM h{k}
+    WINDOW w AS (PARTITION BY o, i ORDER BY v), a AS (PARTITION BY o, i)),
+g{k} AS (SELECT *, 0.5 * (gl * gl / (nl + 0.1) + (gt - gl) * (gt - gl) / (nt - nl + 0.1) - gt * gt / (nt + 0.1)) AS gain
+    FROM c{k} WHERE nl >= 2 AND nt - nl >= 2),
+t{k} AS (SELECT * FROM (SELECT *, max(gain) OVER (PARTITION BY o) AS top FROM g{k}) WHERE gain >= top * (1 - 1e-9) AND gain > 0.6
+    QUALIFY row_number() OVER (PARTITION BY o ORDER BY i, v) = 1),
+w{k} AS (SELECT o, any_value(gt) AS gt, any_value(nt) AS nt FROM c{k} WHERE i = 0 GROUP BY o),
+r{k} AS (SELECT r.*, p{k - 1} + CASE WHEN t.o IS NULL THEN -0.1 * w.gt / (w.nt + 0.1)
+    WHEN CASE t.i WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 WHEN 3 THEN m ELSE s END <= t.v THEN -0.1 * t.gl / (t.nl + 0.1)
+    ELSE -0.1 * (t.gt - t.gl) / (t.nt - t.nl + 0.1) END AS p{k}
+    FROM r{k - 1} r JOIN w{k} w ON w.o = r.o LEFT JOIN t{k} t ON t.o = r.o)"""
+
+
+_STUMP_SQL = with_(DAY_FILLED_CHAIN, """days AS (SELECT series_id, ts, value, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS d,
+    dayofweek(ts) + 1.0 AS f0, month(ts) + 0.0 AS f1, day(ts) + 0.0 AS f2 FROM day_filled),
+starts AS (SELECT series_id, unnest(range(CAST(ceil((min(d) + 1137) / 7.0) * 7 AS BIGINT), CAST(floor((max(d) - 6) / 7.0) * 7 AS BIGINT) + 1, 7)) AS o
+    FROM days GROUP BY series_id),
+win AS (SELECT o, f.* FROM starts s JOIN days f ON f.series_id = s.series_id AND f.d BETWEEN s.o - 1137 AND s.o + 6),
+scale AS (SELECT o, series_id, avg(value) AS m, stddev_samp(value) AS s FROM win WHERE d <= o - 43 GROUP BY 1, 2),
+r0 AS (SELECT win.*, m, s, CAST(0.5 AS DOUBLE) AS p0 FROM win JOIN scale USING (o, series_id))""", _stump_round(1), _stump_round(2),
+    """errors AS (SELECT o, sqrt(avg((p1 - value) ** 2)) AS e1, sqrt(avg((p2 - value) ** 2)) AS e2 FROM r2 WHERE d > o - 43 AND d <= o - 3 GROUP BY o),
+kept AS (SELECT *, CASE WHEN e2 < e1 THEN 2 ELSE 1 END AS kept, DATE '1970-01-01' + CAST(o AS INTEGER) AS origin FROM errors),
+ahead AS (SELECT r.series_id, CAST(k.origin AS TIMESTAMP) AS origin, CAST(d - r.o + 3 AS INTEGER) AS step, ts, value, CASE WHEN kept = 2 THEN p2 ELSE p1 END AS p
+    FROM r2 r JOIN kept k ON k.o = r.o WHERE d > r.o - 3),
+gains AS (SELECT o, i, sum(gain) AS gain FROM (SELECT o, i, gain FROM t1 UNION ALL SELECT t2.o, i, gain FROM t2 JOIN kept k ON k.o = t2.o WHERE kept = 2) GROUP BY 1, 2),
+shares AS (SELECT o, i, gain / sum(gain) OVER (PARTITION BY o) AS share FROM gains),
+names AS (SELECT unnest(['day_week', 'month', 'day_month', 'series_mean', 'series_sd']) AS feature, unnest([0, 1, 2, 3, 4]) AS i)""")
+
+
+def _stumps(spark, folder):
+    table = _boosted_table(spark, folder)
+    return table, boosted.fit_origins(table, _STUMP_FEATURES, BOOSTED_SPEC, _STUMPS)
+
+
+@query("f3_boosted_stumps", _STUMP_SQL + f"""SELECT series_id, {txt('origin')} AS origin, step, {txt('ts')} AS ts, {r('value', 6)} AS actual,
+  {r('p', 6)} AS base, CAST(0 AS DOUBLE) AS residual, {r('p', 6)} AS predicted FROM ahead""")
+def f3_stumps(spark, folder):
+    table, models = _stumps(spark, folder)
+    return render(boosted.forecasts(table, _STUMP_FEATURES, BOOSTED_SPEC, models, _STUMPS), 6)
+
+
+@query("f4_stump_curve", _STUMP_SQL + f"""SELECT {txt('CAST(origin AS TIMESTAMP)')} AS origin, CAST(1 AS INTEGER) AS round, {r('e1', 6)} AS valid_error,
+  CAST(kept = 1 AS INTEGER) AS kept FROM kept UNION ALL SELECT {txt('CAST(origin AS TIMESTAMP)')}, 2, {r('e2', 6)}, CAST(kept = 2 AS INTEGER) FROM kept""")
+def f4_stumps(spark, folder):
+    return render(boosted.validation_curve(_stumps(spark, folder)[1]), 6)
+
+
+@query("f5_stump_prediction", _STUMP_SQL + f"""SELECT series_id, {txt('origin')} AS origin, {r('100 * avg(abs(value - p) / p)', 6)} AS mape,
+  {r('sqrt(avg((value - p) ** 2))', 6)} AS rmse FROM ahead WHERE step >= 3 GROUP BY 1, 2""")
+def f5_stumps(spark, folder):
+    table, models = _stumps(spark, folder)
+    out = boosted.forecasts(table, _STUMP_FEATURES, BOOSTED_SPEC, models, _STUMPS).where("step >= 3")
+    apart = F.col("actual") - F.col("predicted")
+    return render(out.groupBy("series_id", "origin").agg((100 * F.avg(F.abs(apart) / F.col("predicted"))).alias("mape"),
+                                                         F.sqrt(F.avg(apart * apart)).alias("rmse")), 6)
+
+
+@query("f16_stump_importance", _STUMP_SQL + f"""SELECT feature, {r('coalesce(sum(share), 0) / (SELECT count(*) FROM kept)', 6)} AS importance
+  FROM names LEFT JOIN shares USING (i) GROUP BY feature""")
+def f16_stumps(spark, folder):
+    return render(boosted.importance(_stumps(spark, folder)[1], _STUMP_FEATURES, _STUMPS), 6)
+
+
+@query("o4_stump_ranking", _STUMP_SQL + f"""SELECT feature, {r('importance', 6)} AS importance,
+  CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS position FROM (SELECT feature, coalesce(share, 0) AS importance
+  FROM names LEFT JOIN (SELECT * FROM shares WHERE o = (SELECT max(o) FROM kept)) USING (i))""")
+def o4_stumps(spark, folder):
+    return render(boosted.ranked(boosted.importance(_last(_stumps(spark, folder)[1]), _STUMP_FEATURES, _STUMPS)), 6)
 
 
 # One lag, one straight line for all series on scaled values: the recursion in closed form.

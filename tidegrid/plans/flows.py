@@ -43,12 +43,12 @@ def merge_weather(readings: DataFrame, stations, columns=("tmpf",), value: str =
 
 
 def boosted_year(frame: DataFrame, year: int, spec: Backtest = PUBLISHED["boosted_three_years"],
-                 boosting: boosted.Boosting = boosted.Boosting(), refit_every: int = 1, features=FINAL_FEATURES,
+                 boosting: boosted.Boosting = boosted.Boosting(), features=FINAL_FEATURES,
                  keys=("series_id",)) -> tuple[DataFrame, DataFrame]:
     """(daily metrics, hourly prediction log) of one year of origins. Percent errors
     are relative to the prediction, as in the published daily metrics."""
     limits = replace(spec, first=f"{year}-01-01", last=f"{year}-12-31")
-    out, _ = boosted.boosted_backtest(frame, features, limits, boosting, refit_every, FINAL_ORDER, FINAL_SEASONAL, keys=keys)
+    out, _ = boosted.boosted_backtest(frame, features, limits, boosting, FINAL_ORDER, FINAL_SEASONAL, keys=keys)
     metrics = published.score_days(out, limits, keys, denominator="predicted").select(
         *keys, "day", "mape", "rmse", "peak", "peak_pred")
     log = out.where(F.col("step") >= limits.score_from).select(
