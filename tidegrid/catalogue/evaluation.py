@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from tidegrid.catalogue.joins import (DAILY_SPEC, DAY_ORIGINS, EXPANDING_SPEC, HOURLY_SPEC, ORIGINS)
+from tidegrid.catalogue.joins import (DAILY_SPEC, DAY_ORIGINS, EXPANDING_SPEC, HOURLY_SPEC, ORIGINS, window_means)
 from tidegrid.catalogue.registry import DAY_FILLED_CHAIN, FILLED_CHAIN, query, r, render, txt, with_
-from tidegrid.operators import lags, metrics
+from tidegrid.operators import lags, metrics, windows
 from tidegrid.plans import backtest as bt
 from tidegrid.sources import tables
 
@@ -33,10 +35,7 @@ def b2(spark, folder):
   count(*) AS n, {r('avg(f.value)')} AS mean_value, {txt('min(f.ts)')} AS first_ts, {txt('max(f.ts)')} AS last_ts
   FROM day_origins o JOIN day_filled f ON {_IN_TRAIN} GROUP BY 1, 2""")
 def b3(spark, folder):
-    rows = bt.training_rows(tables.filled_shipments(spark, folder), DAILY_SPEC)
-    return render(rows.groupBy("series_id", "origin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"), F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts")))
+    return render(window_means(tables.filled_shipments(spark, folder), DAILY_SPEC, edges=True))
 
 
 @query("b4_expanding_window", with_(FILLED_CHAIN, ORIGINS) + f""", firsts AS (SELECT series_id,
@@ -44,18 +43,22 @@ def b3(spark, folder):
   count(*) AS n, {r('avg(f.value)')} AS mean_value FROM origins o JOIN firsts s ON s.series_id = o.series_id
   JOIN filled f ON f.series_id = o.series_id AND f.ts BETWEEN s.train_start AND o.train_end GROUP BY 1, 2""")
 def b4(spark, folder):
-    rows = bt.training_rows(tables.filled_events(spark, folder), EXPANDING_SPEC)
-    return render(rows.groupBy("series_id", "origin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")))
+    return render(window_means(tables.filled_events(spark, folder), EXPANDING_SPEC))
 
 
 @query("b5_validation_tail", with_(FILLED_CHAIN, ORIGINS) + f"""SELECT o.series_id, {txt('o.origin')} AS origin,
   CAST(f.ts > o.train_end - INTERVAL 32 HOUR AS INTEGER) AS is_valid, count(*) AS n,
   {r('avg(f.value)', 10)} AS mean_value FROM origins o JOIN filled f ON {_IN_TRAIN} GROUP BY 1, 2, 3""")
 def b5(spark, folder):
-    rows = bt.training_rows(tables.filled_events(spark, folder), HOURLY_SPEC)
-    return render(rows.groupBy("series_id", "origin", "is_valid").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value")), 10)
+    # The tail is a short window of its own; the head is what the whole window has besides it.
+    rows = tables.filled_events(spark, folder)
+    figures = {"n": F.lit(1), "total": F.col("value")}
+    whole, tail = (windows.window_sums(rows, replace(HOURLY_SPEC, train=t), figures) for t in (HOURLY_SPEC.train, HOURLY_SPEC.valid))
+    tail = tail.select("series_id", "origin", F.col("n").alias("tail_n"), F.col("total").alias("tail_total"))
+    parts = whole.join(tail, ["series_id", "origin"]).select("series_id", "origin", F.explode(F.array(
+        F.struct(F.lit(True).alias("is_valid"), F.col("tail_n").alias("n"), F.col("tail_total").alias("total")),
+        F.struct(F.lit(False).alias("is_valid"), (F.col("n") - F.col("tail_n")).alias("n"), (F.col("total") - F.col("tail_total")).alias("total")))).alias("p"))
+    return render(parts.select("series_id", "origin", "p.is_valid", F.col("p.n").cast("long").alias("n"), (F.col("p.total") / F.col("p.n")).alias("mean_value")), 10)
 
 
 @query("b6_scored_steps", with_(FILLED_CHAIN, ORIGINS) + f"""SELECT o.series_id, {txt('o.origin')} AS origin,

@@ -6,10 +6,10 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tidegrid.catalogue.features import with_station_weather
-from tidegrid.catalogue.joins import HOURLY_SPEC, ORIGINS
+from tidegrid.catalogue.joins import EXPANDING_SPEC, HOURLY_SPEC, ORIGINS
 from tidegrid.catalogue.registry import DAY_FILLED_CHAIN, FILLED_CHAIN, query, r, render, txt, with_
 from tidegrid.operators import (additive, autoregression, boosted, ets, features, grid, impute, lags, linear,
-                                metrics, smoothing, weather)
+                                metrics, smoothing, weather, windows)
 from tidegrid.plans import published
 from tidegrid.plans.backtest import Backtest
 from tidegrid.sources import tables
@@ -49,6 +49,35 @@ def f1(spark, folder):
         "series_id", "origin", "n", "intercept", F.element_at("coefficients", 1).alias("slope")))
 
 
+# Expanding windows: every origin trains on all rows from the first origin's window on.
+_GROWING = """firsts AS (SELECT series_id, min(train_start) AS train_start FROM origins GROUP BY 1),
+grown AS (SELECT o.series_id, o.origin, count(*) AS n, regr_slope(f.value, f.l2) AS b, regr_intercept(f.value, f.l2) AS a
+  FROM origins o JOIN firsts s ON s.series_id = o.series_id JOIN l2 f ON f.series_id = o.series_id
+  AND f.ts BETWEEN s.train_start AND o.train_end GROUP BY 1, 2)"""
+
+
+def _growing_coefficients(spark, folder):
+    return windows.window_coefficients(with_l2(spark, folder), ["l2"], EXPANDING_SPEC)
+
+
+@query("f1_expanding_ols", with_(FILLED_CHAIN, ORIGINS, _L2, _GROWING) + f"""SELECT series_id, {txt('origin')} AS origin, n,
+  {r('a')} AS intercept, {r('b')} AS slope FROM grown""")
+def f1_expanding(spark, folder):
+    return render(_growing_coefficients(spark, folder).select(
+        "series_id", "origin", "n", "intercept", F.element_at("coefficients", 1).alias("slope")))
+
+
+@query("backtest_expanding_ols_scores", with_(FILLED_CHAIN, ORIGINS, _L2, _GROWING, _FUTURE) + f""", fc AS (SELECT f.series_id, f.origin,
+  f.value AS actual, g.a + g.b * f.l2 AS predicted FROM future f JOIN grown g ON g.series_id = f.series_id AND g.origin = f.origin
+  WHERE f.step BETWEEN 17 AND 40)
+  SELECT series_id, {txt('CAST(origin AS DATE)')} AS day, {r('avg(actual - predicted)', 6)} AS me,
+  {r('sqrt(avg((actual - predicted) * (actual - predicted)))', 6)} AS rmse,
+  {r('avg(abs(100 * (actual - predicted) / nullif(actual, 0)))', 6)} AS mape FROM fc GROUP BY 1, 2""")
+def expanding_scores(spark, folder):
+    out = linear.predict_rows(with_l2(spark, folder), _growing_coefficients(spark, folder), ["l2"], EXPANDING_SPEC)
+    return render(published.score_days(out, EXPANDING_SPEC).select("series_id", "day", "me", "rmse", "mape"), 6)
+
+
 @query("f2_ols_prediction", with_(*_CHAIN, _FUTURE) + f"""SELECT f.series_id, {txt('f.origin')} AS origin, f.step,
   {txt('f.ts')} AS ts, {r('f.value')} AS actual, {r('c.a + c.b * f.l2')} AS predicted FROM future f
   JOIN coef c ON c.series_id = f.series_id AND c.origin = f.origin""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.catalogue.registry import (DAY_FILLED_CHAIN, DENSE_CHAIN, FILLED_CHAIN,
                                          STATION_HOURS, STATION_ROWS, query, r, render, txt, with_)
-from tidegrid.operators import grid, impute, lags, weather
+from tidegrid.operators import grid, impute, lags, weather, windows
 from tidegrid.plans import backtest as bt
 from tidegrid.sources import tables
 
@@ -123,15 +123,19 @@ def j6(spark, folder):
         "series_id", "ts", "value", "calendar_mean"), 6)
 
 
+def window_means(rows, spec, edges=False):
+    """Rows, mean and, with ``edges``, first and last stamp of each origin's training window."""
+    sums = windows.window_sums(rows, spec, {"n": F.lit(1), "total": F.col("value"), "known": F.col("value").isNotNull()})
+    out = sums.select("series_id", "origin", F.col("n").cast("long").alias("n"), (F.col("total") / F.col("known")).alias("mean_value"))
+    return out.join(windows.window_edges(rows, spec), ["series_id", "origin"]) if edges else out
+
+
 @query("j7_origin_training_rows", with_(FILLED_CHAIN, ORIGINS) + f"""SELECT o.series_id, {txt('o.origin')} AS origin,
   count(*) AS n, {r('avg(f.value)')} AS mean_value, {txt('min(f.ts)')} AS first_ts, {txt('max(f.ts)')} AS last_ts
   FROM origins o JOIN filled f ON f.series_id = o.series_id AND f.ts BETWEEN o.train_start AND o.train_end
   GROUP BY 1, 2""")
 def j7(spark, folder):
-    rows = bt.training_rows(tables.filled_events(spark, folder), HOURLY_SPEC)
-    return render(rows.groupBy("series_id", "origin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"),
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+    return render(window_means(tables.filled_events(spark, folder), HOURLY_SPEC, edges=True))
 
 
 @query("j8_origin_horizon_rows", with_(FILLED_CHAIN, ORIGINS) + f"""SELECT o.series_id, {txt('o.origin')} AS origin,
