@@ -282,12 +282,6 @@ def test_autocorrelation_and_partial(load):
         assert pacf[k] == pytest.approx(np.linalg.solve(r, rho[1:k + 1])[-1])
 
 
-@pytest.mark.parametrize("x,df,want", [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (11.0705, 5, 0.05),
-                                       (18.30704, 10, 0.05), (67.50481, 51, 0.0601), (0.0, 3, 1.0)])
-def test_chi_square_tail(x, df, want):
-    assert diagnostics.chi_square_tail(x, df) == pytest.approx(want, abs=2e-3 if df == 51 else 1e-5)
-
-
 def test_difference_order_tells_a_walk_from_noise(series):
     rng = random.Random(4)
     noise = [rng.gauss(0, 1) for _ in range(600)]

@@ -237,17 +237,24 @@ def f18(spark, folder):
         "series_id", "origin", "step", "predicted", "lower", "upper"))
 
 
+# P(|T| > |t|) by Simpson's rule over the density from 0 to |t|, in 4,000 stretches.
+_T_TAIL = """greatest(0, 1 - 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(df * pi()) * least(abs({t}), 60.0) / 12000 * list_sum(
+  list_transform(range(0, 4001), lambda i: (CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+  * pow(1 + pow(least(abs({t}), 60.0) * i / 4000, 2) / df, -(df + 1) / 2.0))))"""
+
+
 @query("f17_model_summary", with_(DAY_FILLED_CHAIN) + f""", x AS (SELECT series_id, value AS y, row_number() OVER (
-  PARTITION BY series_id ORDER BY ts) AS t FROM day_filled), f AS (SELECT series_id, count(*) AS n,
+  PARTITION BY series_id ORDER BY ts) AS t FROM day_filled), f AS (SELECT series_id, count(*) AS n, count(*) - 2 AS df,
   regr_slope(y, t) AS b, regr_intercept(y, t) AS a, regr_r2(y, t) AS r2, regr_sxx(y, t) AS sxx, avg(t) AS mt,
-  sqrt((regr_syy(y, t) - regr_slope(y, t) * regr_sxy(y, t)) / (count(*) - 2)) AS s FROM x GROUP BY 1)
-  SELECT series_id, 'trend' AS term, n, {r('b')} AS estimate, {r('s / sqrt(sxx)')} AS std_error,
-    {r('b / (s / sqrt(sxx))', 6)} AS t_value, {r('r2')} AS r2 FROM f
-  UNION ALL SELECT series_id, '(Intercept)', n, {r('a')}, {r('s * sqrt(1.0 / n + mt * mt / sxx)')},
-    {r('a / (s * sqrt(1.0 / n + mt * mt / sxx))', 6)}, {r('r2')} FROM f""")
+  sqrt((regr_syy(y, t) - regr_slope(y, t) * regr_sxy(y, t)) / (count(*) - 2)) AS s FROM x GROUP BY 1),
+  terms AS (SELECT *, 'trend' AS term, b AS estimate, s / sqrt(sxx) AS std_error FROM f
+    UNION ALL SELECT *, '(Intercept)', a, s * sqrt(1.0 / n + mt * mt / sxx) FROM f)
+  SELECT series_id, term, n, {r('estimate')} AS estimate, {r('std_error')} AS std_error, {r('estimate / std_error', 6)} AS t_value, {r('r2')} AS r2,
+    CAST(1 AS BIGINT) AS df_fit, df, {r('r2 / ((1 - r2) / df)', 6)} AS f_value, {r(_T_TAIL.format(t="(estimate / std_error)"))} AS p_value,
+    {r(_T_TAIL.format(t="sqrt(r2 / ((1 - r2) / df))"))} AS f_p_value FROM terms""")
 def f17(spark, folder):
     rows = grid.step_index(tables.filled_shipments(spark, folder), "day")
-    return render(linear.regression_summary(rows, ["trend"]), t_value=6)
+    return render(linear.regression_summary(rows, ["trend"]), t_value=6, f_value=6)
 
 
 # The whole chain in SQL: window fit, residual layer, forecast of the day, daily scores.

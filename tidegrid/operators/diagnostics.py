@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.special import chi_square_tail
 from tidegrid.operators.blocks import BLOCK, STEP_SECONDS, add_framed, block_window, epoch
 from tidegrid.operators.lags import add_differences, centred_mean
 
@@ -140,24 +139,6 @@ def seasonal_strength(df: DataFrame, period: int, step: str, value: str = "value
         "nsdiffs", (F.col("strength") > SEASONAL_STRENGTH).cast("int"))
 
 
-def chi_square_tail(x: float, df: int) -> float:
-    """P(X > x) for a whole number of degrees of freedom, in closed form."""
-    if not math.isfinite(x) or df < 1:
-        return float("nan")
-    half = max(x, 0.0) / 2
-    if df % 2 == 0:
-        term, total = 1.0, 1.0
-        for k in range(1, df // 2):
-            term *= half / k
-            total += term
-        return math.exp(-half) * total
-    total, term = 0.0, math.sqrt(half / math.pi) * 2 if half else 0.0
-    for k in range(1, (df + 1) // 2):
-        total += term
-        term *= half / (k + 0.5)
-    return math.erfc(math.sqrt(half)) + math.exp(-half) * total
-
-
 def ljung_box(df: DataFrame, lags: int, step: str, value: str = "value", fitted: int = 0,
               keys=("series_id",)) -> DataFrame:
     """(keys, n, q, df, p_value) of the residual autocorrelation test."""
@@ -167,12 +148,8 @@ def ljung_box(df: DataFrame, lags: int, step: str, value: str = "value", fitted:
                        lambda c, i: F.pow(c / F.nullif(F.element_at("sums", 1), F.lit(0.0)), F.lit(2.0)) / (n - i - 1))
     q = n * (n + 2) * F.aggregate(rho2, F.lit(0.0), lambda s, v: s + v)
 
-    @F.pandas_udf("double")
-    def tail(q: pd.Series) -> pd.Series:
-        return pd.Series(np.array([chi_square_tail(v, lags - fitted) for v in q], dtype=float))
-
     return sums.select(*keys, "n", q.alias("q")).withColumns(
-        {"df": F.lit(lags - fitted), "p_value": tail("q")})
+        {"df": F.lit(lags - fitted), "p_value": chi_square_tail(F.col("q"), F.lit(lags - fitted))})
 
 
 def residual_feed(df: DataFrame, max_lag: int, step: str, value: str = "value", keys=("series_id",)) -> DataFrame:

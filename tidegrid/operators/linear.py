@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidegrid.functions.solve import seasonal_arma_forecast, solve_centred
+from tidegrid.functions.special import f_tail, t_tail
 from tidegrid.operators.blocks import epoch, spread
 from tidegrid.plans.backtest import Backtest, horizon_rows, origin_chunks, training_rows
 
@@ -281,13 +282,14 @@ def series_gram(df: DataFrame, features, label: str = "value", keys=("series_id"
 
 
 def regression_summary(df: DataFrame, features, label: str = "value", keys=("series_id",)) -> DataFrame:
-    """Whole-sample fit per series: one row per term with estimate, standard error
-    and t value, and the R squared of the fit."""
+    """Whole-sample fit per series: one row per term with estimate, standard error, t value and its
+    two-sided p-value, and the fit's degrees of freedom, R squared, F value and its p-value."""
     names = [*features, "(Intercept)"]
     size = len(names) + 1
     schema = T.StructType([*_key_fields(df, keys), T.StructField("term", T.StringType()),
                            T.StructField("n", T.LongType()),
-                           *[T.StructField(c, T.DoubleType()) for c in ("estimate", "std_error", "t_value", "r2")]])
+                           *[T.StructField(c, T.DoubleType()) for c in ("estimate", "std_error", "t_value", "r2")],
+                           T.StructField("df_fit", T.LongType()), T.StructField("df", T.LongType())])
 
     def summarise(frames):
         for pdf in frames:
@@ -305,7 +307,10 @@ def regression_summary(df: DataFrame, features, label: str = "value", keys=("ser
                 for i, name in enumerate(names):
                     rows.append((*[rec[k] for k in keys], name, int(n), float(beta[i]), float(error[i]),
                                  float(beta[i] / error[i]) if error[i] > 0 else None,
-                                 float(1 - left / total) if total > 0 else None))
+                                 float(1 - left / total) if total > 0 else None, len(used) - 1, int(n) - len(used)))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return spread(series_gram(df, features, label, keys), *keys).mapInPandas(summarise, schema)
+    fits = spread(series_gram(df, features, label, keys), *keys).mapInPandas(summarise, schema)
+    ratio = F.when(F.col("r2") < 1, F.col("r2") / F.col("df_fit") / ((1 - F.col("r2")) / F.col("df")))
+    return fits.withColumn("f_value", F.when((F.col("df_fit") > 0) & (F.col("df") > 0), ratio)).withColumns({
+        "p_value": t_tail(F.col("t_value"), F.col("df")), "f_p_value": f_tail(F.col("f_value"), F.col("df_fit"), F.col("df"))})
