@@ -155,6 +155,23 @@ def test_smoothing_over_many_blocks(series):
     assert got == pytest.approx(want, rel=1e-10)
 
 
+@pytest.mark.parametrize("alpha", [0.001, 0.1])
+def test_smoothing_forgets_nothing(spark, alpha):
+    """Seven years of hours and a hole of two of them: sums equal the recursion from the first row on."""
+    rng = np.random.default_rng(5)
+    at = np.concatenate([np.arange(30_000), np.arange(48_000, 61_320)])
+    y = rng.random(len(at)) * 100 + 1e6 * (at < 100)
+    df = spark.createDataFrame([("a", int(t), float(v)) for t, v in zip(at, y)], "series_id string, h long, value double").select(
+        "series_id", F.timestamp_seconds(F.col("h") * 3600).alias("ts"), "value")
+    got = [r["smoothed"] for r in smoothing.smoothed_sums(df, alpha, "hour").orderBy("ts").collect()]
+    total, want, last = 0.0, [], at[0]
+    for t, v in zip(at, y):
+        total = total * (1 - alpha) ** int(t - last) + alpha * v
+        want.append(total)
+        last = t
+    assert got == pytest.approx(want, rel=1e-8)
+
+
 def test_smoothing_layer_equals_the_recursion(frame):
     """Regression on one-step errors of each window, plus the last level."""
     rows = smoothing.smoothed_sums(frame.select("series_id", "ts", "value", "l2"), 0.1, "hour")

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tidegrid.operators.blocks import BLOCK, STEP_SECONDS, block_window, core_rows, epoch, with_halo
 from tidegrid.plans.backtest import Backtest, horizon_rows, origin_list
 
-# Weight below which an older value cannot change a double any more.
-NEGLIGIBLE = 1e-18
+BLOCK_STEPS = 8192
 
 
 def guerrero_lambda(df: DataFrame, period: int, step: str, grid=None, keys=("series_id",),
@@ -36,24 +35,47 @@ def smoothed_sums(df: DataFrame, alpha: float, step: str, keys=("series_id",),
     """Adds ``smoothed`` = sum of ``alpha * (1 - alpha) ** age * value`` over all
     rows up to each row of a complete grid.
 
-    The recursion becomes a running sum inside time blocks: value k rows after the
-    start of its block weighs ``(1 - alpha) ** -k``, and the total is scaled back.
-    The halo reaches back until weights are negligible; blocks are short enough
-    that the weights stay far from overflow.
+    The recursion becomes a running sum inside time blocks: value k rows after the start of its
+    block weighs ``(1 - alpha) ** -k``, and the total is scaled back. What earlier blocks add is carried
+    from block to block over a table of one row per block, so no value is left out however old it is.
+    Blocks are short enough that the weights stay far from overflow.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha is in (0, 1]")
     if alpha == 1:
         return df.withColumn("smoothed", F.col(value).cast("double"))
     decay = -math.log1p(-alpha)
-    halo = math.ceil(-math.log(NEGLIGIBLE) / decay)
-    block = max(1, min(8192, int(400 / decay)))
+    block = max(1, min(BLOCK_STEPS, int(400 / decay)))
     width = block * STEP_SECONDS[step]
+    at = F.floor(epoch() / width)
     age = (epoch() - F.col(BLOCK) * width) / STEP_SECONDS[step]
+    # The shuffle is asked for: lying together by key alone would keep a long series in one task.
+    rows = df.withColumn(BLOCK, at).repartition(*keys, BLOCK).withColumn("_age", age)
     running = block_window(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spread = with_halo(df, step, keys, before=halo, block=block).withColumn("_age", age)
-    total = F.sum(F.lit(alpha) * F.col(value) * F.exp(F.col("_age") * decay)).over(running)
-    return core_rows(spread.withColumn("smoothed", total * F.exp(-F.col("_age") * decay)).drop("_age"))
+    inside = F.sum(F.lit(alpha) * F.col(value) * F.exp(F.col("_age") * decay)).over(running) * F.exp(-F.col("_age") * decay)
+    carried = _carried(df.withColumn(BLOCK, at).withColumn("_age", age), alpha, decay, block, keys, value)
+    return rows.withColumn("smoothed", inside).join(carried, [*keys, BLOCK]).withColumn(
+        "smoothed", F.col("smoothed") + F.col("_carry") * F.exp(-F.col("_age") * decay)).select(*df.columns, "smoothed")
+
+
+def _carried(rows: DataFrame, alpha: float, decay: float, block: int, keys, value: str) -> DataFrame:
+    """(keys, block, _carry): what all earlier blocks add to a row at the start of each block."""
+    totals = rows.groupBy(*keys, BLOCK).agg(F.coalesce(F.sum(
+        F.lit(alpha) * F.col(value) * F.exp((F.col("_age") - block) * decay)), F.lit(0.0)).alias("_total"))
+    listed = totals.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(BLOCK, "_total"))).alias("_list"))
+    empty = F.array().cast("array<struct<b:bigint,c:double>>")
+
+    def step(done, one):
+        last, total = F.get(done["out"], F.size(done["out"]) - 1), done["total"]
+        gap = (one[BLOCK] - last["b"]) * block * decay
+        carry = F.when(F.size(done["out"]) == 0, F.lit(0.0)).otherwise(
+            last["c"] * F.exp(-gap) + total * F.exp(F.lit(block * decay) - gap))
+        made = F.struct(one[BLOCK].alias("b"), carry.alias("c"))
+        return F.struct(F.concat(done["out"], F.array(made)).alias("out"), one["_total"].alias("total"))
+
+    start = F.struct(empty.alias("out"), F.lit(0.0).alias("total"))
+    carries = F.aggregate("_list", start, step, lambda done: done["out"])
+    return listed.select(*keys, F.explode(carries).alias("x")).select(*keys, F.col("x.b").alias(BLOCK), F.col("x.c").alias("_carry"))
 
 
 def restarted_level(smoothed: Column, start_value: Column, start_smoothed: Column,
