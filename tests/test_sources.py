@@ -49,7 +49,24 @@ def test_station_folders_prune_and_slice(spark, series, tmp_path):
     day = files.read_stations(spark, path, F.to_timestamp(F.lit("2020-01-02")), columns=("tmpf",), ts="ts")
     assert day.where("station = 'LAX'").count() == 24
     plan = day.where("station = 'LAX'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(station" in plan
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "station" in filters and "day" in filters
+    read = {r[0].split("day=")[1][:10] for r in day.select(F.input_file_name()).distinct().collect()}
+    assert read == {"2020-01-02"}
+
+
+def test_a_month_is_written_by_as_many_tasks_as_its_rows_ask_for(spark, tmp_path):
+    df = spark.range(1000).select(F.col("id").alias("series_id"), F.when(F.col("id") < 990, F.to_timestamp(F.lit("2020-01-05"))).when(
+        F.col("id") < 999, F.to_timestamp(F.lit("2021-03-05"))).alias("ts"), F.lit(1.0).alias("load"))
+    # Adaptive execution may merge parts that are small in bytes, as all are here.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = sinks.write_by_year(df, str(tmp_path / "log"), "ts", fmt="parquet", rows=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files_of = {y: [spark.read.parquet(f).count() for f in glob.glob(f"{path}/year={y}/*.parquet")] for y in ("2020", "2021", "__HIVE_DEFAULT_PARTITION__")}
+    assert sum(files_of["2020"]) == 990 and max(files_of["2020"]) < 500 and 3 <= len(files_of["2020"]) <= 10
+    assert files_of["2021"] == [9] and files_of["__HIVE_DEFAULT_PARTITION__"] == [1]
 
 
 def test_daily_weather_names(spark, tmp_path):

@@ -44,15 +44,15 @@ def read_daily_weather(spark: SparkSession, path, fmt: str = "csv", day: str = "
 
 def read_stations(spark: SparkSession, path, start=None, end=None,
                   columns=STATION_COLUMNS, ts: str = "valid") -> DataFrame:
-    """All station folders (``.../station=XXX/``) in one scan; the folder name is
-    the station, so a station filter prunes whole folders."""
-    schema = ", ".join(["station string", f"{ts} timestamp", *[f"{c} double" for c in columns]])
+    """All station folders (``.../station=XXX/day=YYYY-MM-DD/``) in one scan. The folders name station and day:
+    a station filter and the stamp range prune whole folders, as the range is also said of the days."""
+    schema = ", ".join(["station string", "day date", f"{ts} timestamp", *[f"{c} double" for c in columns]])
     out = use_utc(spark).read.csv(path, header=True, schema=schema, nullValue="NA")
     if start is not None:
-        out = out.where(F.col(ts) >= F.lit(start))
+        out = out.where((F.col(ts) >= F.lit(start)) & (F.col("day") >= F.to_date(F.lit(start))))
     if end is not None:
-        out = out.where(F.col(ts) < F.lit(end))
-    return out.withColumnRenamed(ts, "ts")
+        out = out.where((F.col(ts) < F.lit(end)) & (F.col("day") <= F.to_date(F.lit(end))))
+    return out.withColumnRenamed(ts, "ts").drop("day")
 
 
 def read_metrics(spark: SparkSession, path) -> DataFrame:
