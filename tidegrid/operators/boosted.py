@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,9 +56,15 @@ def store_features(df: DataFrame) -> DataFrame:
 
 
 def _inputs(df: DataFrame, features) -> DataFrame:
-    """Inputs as one array. Missing ones become a value below all others, which a split can set apart."""
-    whole = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(MISSING)), F.lit(MISSING)) for c in features]
-    return df.withColumn("_x", F.array(*whole))
+    """Inputs as one array; a vector column gives one input for each of its places. Missing ones become a
+    value below all others, which a split can set apart."""
+    kinds, parts = dict(zip(df.columns, (f.dataType for f in df.schema.fields))), []
+    for c in features:
+        if isinstance(kinds[c], VectorUDT):
+            parts.append(vector_to_array(c))
+        else:
+            parts.append(F.array(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(MISSING)), F.lit(MISSING))))
+    return df.withColumn("_x", F.concat(*parts))
 
 
 def _rows(table: DataFrame, features, keys) -> DataFrame:
@@ -172,7 +179,7 @@ def _level_rows(table: DataFrame, features, spec: Backtest, b: Boosting, keys, t
     scale = head.groupBy("_unit", "_o").agg(F.avg("value").alias("m"), F.coalesce(F.stddev("value"), F.lit(0.0)).alias("d"))
     rows = stored(rows.join(scale, ["_unit", "_o"], "left").select("_o", "_id", F.col("is_valid").alias("valid"), F.col("value").alias("y"), F.concat(
         "_x", F.array(F.coalesce("m", F.lit(MISSING)), F.coalesce("d", F.lit(MISSING)))).alias("x")), "window-rows")
-    count = len(features) + len(SERIES_FEATURES)
+    count = rows.select(F.size("x")).first()[0]
     shares = F.array(*(F.lit(i / b.bins) for i in range(1, b.bins)))
     quantiles = rows.where("NOT valid").groupBy("_o").agg(F.count("*").alias("n"), *(
         F.struct(F.percentile_approx(F.col("x")[i], shares, F.lit(100_000)).alias("q"), F.max(F.col("x")[i]).alias("top")).alias(f"e{i}") for i in range(count)))
@@ -199,8 +206,9 @@ def _level_rows(table: DataFrame, features, spec: Backtest, b: Boosting, keys, t
 
 def _fit_by_levels(table: DataFrame, features, spec: Backtest, b: Boosting, keys, all_rounds: bool, task_rows: int) -> DataFrame:
     """The same models, every level of every round as one aggregation over all open origins."""
-    spark, inputs = table.sparkSession, len(features) + len(SERIES_FEATURES)
+    spark = table.sparkSession
     rows, edges = _level_rows(table, features, spec, b, keys, task_rows)
+    inputs = max(map(len, edges.values()))
     made: dict[int, list] = {o: [] for o in edges}
     errors: dict[int, list[float]] = {o: [] for o in edges}
     since, open_ = 0, sorted(edges)
@@ -399,7 +407,8 @@ def boosted_backtest(table: DataFrame, features, spec: Backtest, boosting: Boost
 
 
 def importance(models: DataFrame, features, boosting: Boosting = Boosting()) -> DataFrame:
-    """(feature, importance): share of the gain of an origin's kept trees, averaged over the models; one row per input."""
+    """(feature, importance): share of the gain of an origin's kept trees, averaged over the models; one row per
+    input. ``features`` are plain columns, not vectors."""
     names = [*features, *SERIES_FEATURES]
     used = F.slice(F.arrays_zip("feature", "gain"), 1, F.col("kept") * boosting.nodes)
     gains = models.select("_o", F.explode(used).alias("x")).where("x.feature >= 0").groupBy("_o", "x.feature").agg(F.sum("x.gain").alias("gain"))
