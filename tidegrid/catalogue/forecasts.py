@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidegrid.catalogue.features import with_station_weather
 from tidegrid.catalogue.joins import EXPANDING_SPEC, HOURLY_SPEC, ORIGINS
 from tidegrid.catalogue.registry import DAY_FILLED_CHAIN, FILLED_CHAIN, query, r, render, txt, with_
-from tidegrid.operators import (additive, autoregression, boosted, ets, features, grid, impute, lags, linear,
+from tidegrid.operators import (additive, autoregression, boosted, ets, ets_search, features, grid, impute, lags, linear,
                                 metrics, smoothing, weather, windows)
 from tidegrid.plans import published
 from tidegrid.plans.backtest import Backtest
@@ -227,6 +227,18 @@ def f12_box_cox(spark, folder):
     return render(out, 6)
 
 
+@query("f12_growing_windows")
+def f12_growing(spark, folder):
+    """Damped trend on Box-Cox values, weights found by search, on windows that grow from origin to origin."""
+    return render(ets_search.search_forecast(tables.filled_events(spark, folder), EXPANDING_SPEC, ("AAdN",), lam="auto"), 4)
+
+
+@query("f12_searched_form")
+def f12_searched(spark, folder):
+    """The form with the best AICc, weights found by search, per rolling window."""
+    return render(ets_search.search_forecast(tables.filled_events(spark, folder), HOURLY_SPEC), 4)
+
+
 @query("f18_forecast_interval", "WITH RECURSIVE " + ",\n".join([*_ETS_CHAIN, _ets_sql(("ANN",))]) + f""" SELECT
   f.series_id, {txt('f.origin')} AS origin, f.step, {r('b.l')} AS predicted,
   {r('b.l - 1.959963984540054 * sqrt(b.sse / b.n * (1 + (f.step - 1) * b.alpha * b.alpha))')} AS lower,

@@ -153,7 +153,12 @@ def ets_forecast(df: DataFrame, spec: Backtest, forms=FORMS, lam: float | str |
                  z: float = Z_95, keys=("series_id",), **options) -> DataFrame:
     """Point forecast and interval of every origin and step. ``z=0`` gives a
     degenerate interval."""
-    models = ets_models(df, spec, forms, lam, keys=keys, **options)
+    return forecast_of(df, spec, ets_models(df, spec, forms, lam, keys=keys, **options), lam, z, keys)
+
+
+def forecast_of(df: DataFrame, spec: Backtest, models: DataFrame, lam: float | str | None = None, z: float = Z_95,
+                keys=("series_id",)) -> DataFrame:
+    """Point forecast and interval of every origin and step from the models of the origins."""
     future = horizon_rows(df.select(*keys, "ts", "value"), spec, keys)
     rows = future.join(models, [*keys, "origin"])
     phi, h = F.col("phi"), F.col("step").cast("double")
