@@ -169,6 +169,21 @@ def test_shards_are_files(spark, edges, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(EDGES)
 
 
+def test_shards_keep_columns_of_any_name_and_type(spark, tmp_path):
+    df = spark.sql("SELECT id AS doc_id, 'keep' AS _salt, id + 1 AS `a.b`, map('k', id) AS m, array(map('k', id)) AS n FROM range(40)")
+    back = sharding.write_shards(df, str(tmp_path / "out"), ["x", "y"], salt=3)
+    assert back.columns == [*df.columns, "slot", "shard"]
+    rows = {r["doc_id"]: r for r in back.collect()}
+    assert all(r["_salt"] == "keep" and r["a.b"] == i + 1 and r["m"] == {"k": i} and r["n"] == [{"k": i}] for i, r in rows.items()) and len(rows) == 40
+
+
+def test_a_row_that_comes_again_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "TASK_ROWS", 50)
+    df = spark.range(0, 2000, 1, 40).selectExpr("7 AS doc_id", "'same' AS text")
+    back = sharding.write_shards(df, str(tmp_path / "out"), ["x", "y"])
+    assert back.count() == 2000 and back.select("shard").distinct().count() == 1 and len(back.inputFiles()) > 10
+
+
 def test_sharding_query_writes_whole_rows(spark, small):
     files = QUERIES["op4_sharding"](spark, small).inputFiles()
     assert files and all("/shard=" in f for f in files)

@@ -7,23 +7,27 @@ shard leaves most entries as they are.
 
 The table has ``size`` entries whatever the data (65,537 by default, under 1 MB), so its
 broadcast is bounded. Placement is DataFrame functions only. A shard is a folder that many
-tasks can write: ``write_shards`` splits each shard over ``salt`` tasks, so a shard does not
-become one task.
+tasks can write: ``write_shards`` counts the rows and splits each shard over as many tasks as the
+largest one asks for, by a hash of the row and of the place it was read at, so neither a shard nor a
+row that comes again and again becomes one task.
 
 Defined results: a null key is placed as empty text; equal keys share a shard; an empty
-table gives an empty result; ``slot`` and ``shard`` replace columns of these names.
+table gives an empty result; ``slot`` and ``shard`` replace columns of these names, all other
+columns stay, whatever their names and types.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIZE = 65_537
+TASK_ROWS = 20_000
 
 
 def _number(text: str) -> int:
@@ -67,14 +71,20 @@ def place(df: DataFrame, shards: Sequence[str] | Mapping[str, int], key: str = "
     """``df`` with ``slot`` and ``shard`` (number of the shard in name order)."""
     entries = F.broadcast(table_frame(df.sparkSession, lookup_table(shards, size)))
     rows = df.drop("slot", "shard").withColumn("slot", (key_hash(F.col(f"`{key}`")) % size).cast("int"))
-    return rows.join(entries, "slot").select(*(c for c in rows.columns if c != "slot"), "slot", "shard")
+    return rows.join(entries, "slot").select(*(F.col(f"`{c}`") for c in rows.columns if c != "slot"), "slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str, shards: Sequence[str] | Mapping[str, int], key: str = "doc_id",
-                 salt: int = 4, size: int = SIZE) -> DataFrame:
-    """Parquet folders ``shard=N`` of whole rows, each written by at most ``salt`` tasks; the rows as read back."""
+                 salt: int | None = None, size: int = SIZE) -> DataFrame:
+    """Parquet folders ``shard=N`` of whole rows, each written by ``salt`` tasks; the rows as read back.
+    Without ``salt``, the number of rows of the heaviest shard decides."""
     n = len(shards)
+    if salt is None:
+        weights = list(shards.values()) if isinstance(shards, Mapping) else [1] * n
+        salt = max(1, math.ceil(df.count() * max(weights) / sum(weights) / TASK_ROWS))
     placed = place(df, shards, key, size)
-    (placed.withColumn("_salt", F.pmod(F.xxhash64(*(c for c in placed.columns if c not in ("shard", "slot"))), F.lit(salt)))
-     .repartition(n * salt, "shard", "_salt").drop("_salt").write.partitionBy("shard").parquet(path))
+    # Maps have no hash; the other columns tell rows apart.
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    part = F.col("shard") * salt + F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(salt)).cast("int")
+    placed.repartitionById(n * salt, part).write.partitionBy("shard").parquet(path)
     return df.sparkSession.read.schema(placed.schema).parquet(path)
