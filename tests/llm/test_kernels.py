@@ -230,3 +230,13 @@ def test_pages_without_an_article_stay_whole():
     }
     for html, lines in cases.items():
         assert pages.main_text(html) == "\n".join(x.strip() for x in lines)
+
+
+def test_secret_offsets_of_a_long_text_in_code_points():
+    import time
+    text = "é日😀 token = abcdefghijklmnop0123\n" * 20_000
+    start = time.perf_counter()
+    found = secrets.spans(secrets.build(secrets.RULES), text)
+    assert time.perf_counter() - start < 30
+    base = [s for s in found if s[2] == "assign"]
+    assert len(base) == 20_000 and all(text[a:b].startswith("token = abc") and b - a == 28 for a, b, _ in base[::999])

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,13 +158,12 @@ def spans(scanner: Scanner, text: str | None) -> list[tuple[int, int, str]]:
             if done - counted >= rule.least:
                 found.append((start, k, done))
     found.sort()
-    if len(data) != len(text):
-        def point(at):
-            return len(data[:at].decode("utf-8", "ignore"))
-    else:
-        def point(at):
-            return at
-    return [(point(a), point(b), scanner.rules[k].kind) for a, k, b in found]
+    if len(data) == len(text):
+        return [(a, b, scanner.rules[k].kind) for a, k, b in found]
+    # Code points before each edge: the bytes before it that begin one, all edges at once.
+    begins = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    points = np.searchsorted(begins, np.array([(a, b) for a, _, b in found], np.int64).reshape(-1, 2)).tolist()
+    return [(a, b, scanner.rules[k].kind) for (a, b), (_, k, _) in zip(points, found)]
 
 
 
