@@ -220,7 +220,23 @@ def f12(spark, folder):
         "series_id", "origin", "step", "form", "actual", "predicted"))
 
 
-@query("f12_damped_box_cox")
+# The same recursion on Box-Cox values, whose parameter is that of the least variation over pairs of rows of the window.
+_BOXED = (_TRAIN.replace("train AS", "raw AS", 1), """lams AS (SELECT (i - 10) / 10.0::DOUBLE AS lam FROM range(0, 31) t(i))""",
+    """twos AS (SELECT series_id, origin, (p - 1) // 2 AS b, avg(value) AS m, stddev_samp(value) AS s FROM raw GROUP BY ALL HAVING count(*) = 2)""",
+    """chosen AS (SELECT series_id, origin, lam FROM (SELECT series_id, origin, lam, stddev_samp(s / pow(m, 1 - lam)) / avg(s / pow(m, 1 - lam)) AS cv
+      FROM twos, lams GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY series_id, origin ORDER BY cv, lam) = 1)""",
+    """train AS (SELECT series_id, origin, ts, CASE WHEN abs(lam) < 1e-12 THEN ln(value) ELSE (pow(value, lam) - 1) / lam END AS value, p
+      FROM raw JOIN chosen USING (series_id, origin))""")
+_BACK = "CASE WHEN abs(lam) < 1e-12 THEN exp({z}) WHEN ({z}) * lam + 1 > 0 THEN pow(({z}) * lam + 1, 1 / lam) END"
+
+
+@query("f12_damped_box_cox", "WITH RECURSIVE " + ",\n".join([FILLED_CHAIN, ORIGINS, _L2, *_BOXED, _FUTURE, _ets_sql(("AAdN",))]) + f""",
+  ahead AS (SELECT f.*, b.form, lam, b.l + b.b * b.phi * (1 - pow(b.phi, f.step)) / (1 - b.phi) AS c, 1.959963984540054 * sqrt(b.sse / b.n * (1
+    + coalesce(list_sum(list_transform(range(1, f.step), lambda j: pow(b.alpha + b.beta * b.phi * (1 - pow(b.phi, j)) / (1 - b.phi), 2))), 0))) AS w
+    FROM future f JOIN best b ON b.series_id = f.series_id AND b.origin = f.origin
+    JOIN chosen k ON k.series_id = f.series_id AND k.origin = f.origin)
+  SELECT series_id, {txt('origin')} AS origin, step, {txt('ts')} AS ts, {r('value', 6)} AS actual, form, {r(_BACK.format(z='c'), 6)} AS predicted,
+    {r(_BACK.format(z='c - w'), 6)} AS lower, {r(_BACK.format(z='c + w'), 6)} AS upper FROM ahead""")
 def f12_box_cox(spark, folder):
     """Damped trend on Box-Cox values whose parameter is chosen per window."""
     out = ets.ets_forecast(tables.filled_events(spark, folder), HOURLY_SPEC, ("AAdN",), lam="auto")
