@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidegrid.catalogue.registry import (FILLED_CHAIN, STATION_ROWS, query, r, render, txt,
+from tidegrid.catalogue.registry import (ORDER_CHAIN, FILLED_CHAIN, STATION_ROWS, query, r, render, txt,
                                          with_)
 from tidegrid.functions import calendar as cal
 from tidegrid.functions import terms
@@ -244,3 +244,14 @@ def final_rows(spark, folder):
 def p5(spark, folder):
     cubes = {c: 4 for c in ("l2_3", *[f"{w}_3" for w in features.POWERED_WEATHER])}
     return render(final_rows(spark, folder), **cubes)
+
+
+_LONG_LAGS = lags.LOAD_LAGS | lags.REGRESSION_LAGS
+
+
+@query("p5_long_lags", with_(ORDER_CHAIN) + f"""SELECT series_id, {txt('ts')} AS ts, {r('value')} AS value,
+  {', '.join(f"{r(f'coalesce(lag(value, {k}) {_OVER}, 0)')} AS {n}" for n, k in _LONG_LAGS.items())} FROM filled""")
+def p5_long(spark, folder):
+    """All lag inputs, up to two years of hours, on a series that is long enough for them."""
+    return render(lags.add_lags(tables.filled_orders(spark, folder), _LONG_LAGS, "hour").select(
+        "series_id", "ts", "value", *_LONG_LAGS))

@@ -67,6 +67,11 @@ filled AS (SELECT d.series_id, d.ts, coalesce(d.value, c.m) AS value FROM dense
 DENSE_CHAIN = ",\n".join([HOURLY, GRID, DENSE])
 FILLED_CHAIN = ",\n".join([HOURLY, GRID, DENSE, FILLED])
 
+# Orders per hour over seven years.
+ORDER_CHAIN = ",\n".join(["""hourly AS (SELECT 'orders' AS series_id,
+  CAST(o_orderdate AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS ts, CAST(count(*) AS DOUBLE) AS value
+  FROM orders GROUP BY 1, 2)""", GRID, DENSE, FILLED])
+
 DAILY = """daily AS (SELECT concat(l_returnflag, '-', l_linestatus) AS series_id,
   date_trunc('day', l_shipdate) AS ts, avg(l_quantity) AS value
   FROM lineitem GROUP BY 1, 2)"""

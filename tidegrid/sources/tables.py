@@ -38,6 +38,18 @@ def order_readings(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("value"))
 
 
+def hourly_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders per hour over seven years, one series. The table has days only; the key's remainder stands for the hour."""
+    at = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    return table(spark, folder, "orders").groupBy(F.lit("orders").alias("series_id"), at.alias("ts")).agg(
+        F.count("*").cast("double").alias("value"))
+
+
+def filled_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders per hour without gaps; cells are the hours of the day."""
+    return calendar_fill(complete(hourly_orders(spark, folder), "hour", mark=True), ("hour",))
+
+
 def _customer_station(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, folder, "region").select(
