@@ -57,7 +57,7 @@ def leaf(tree, row):
 @pytest.mark.parametrize("depth", [1, 2, 4])
 def test_kernel_against_loops(depth):
     rng = np.random.default_rng(depth)
-    x, b = rng.integers(0, 12, (200, 3)).astype(float), trees.Boosting(rounds=5, depth=depth, row_share=1.0, column_share=1.0, start=3.0, rate=0.3)
+    x, b = rng.integers(0, 12, (200, 3)).astype(float), trees.Boosting(rounds=5, depth=depth, row_share=1.0, tree_share=1.0, column_share=1.0, start=3.0, rate=0.3)
     y = x[:, 0] * (x[:, 1] > 5) - x[:, 2] + rng.normal(size=200)
     kept, errors, *model = trees.fit(x, y, np.zeros(200, bool), np.arange(200), b, 7)
     assert kept == 5 and errors == []
@@ -73,7 +73,9 @@ def test_draws_do_not_depend_on_the_task():
     drawn = trees.drawn_rows(ids, b, 5, 3)
     assert abs(drawn.mean() - 0.9) < 0.01 and (drawn[::-1] == trees.drawn_rows(ids[::-1], b, 5, 3)).all()
     assert (drawn != trees.drawn_rows(ids, b, 5, 4)).any() and (drawn != trees.drawn_rows(ids, b, 6, 3)).any()
-    assert trees.drawn_columns(20, b, 5, 3, 1).sum() == 18
+    levels = [trees.drawn_columns(20, b, 5, 3, k) for k in range(5)]
+    assert [x.sum() for x in levels] == [16] * 5 and np.any(levels, axis=0).sum() <= 18
+    assert trees.drawn_columns(20, trees.Boosting(tree_share=1.0, column_share=1.0), 5, 3, 1).all()
 
 
 def test_levels_over_all_origins_equal_fits_in_tasks(load):
@@ -133,7 +135,7 @@ def test_missing_inputs_are_told_apart(load):
         "value", F.when(F.col("h").isNull(), 10.0).otherwise(50.0))
     spec = Backtest(train=SPEC.train, first="2020-01-14", last="2020-01-14")
     out, _ = boosted.boosted_backtest(boosted.store_features(rows.select("series_id", "ts", "value", "h")), ["h"], spec,
-                                      trees.Boosting(rounds=40, rate=0.3, row_share=1.0, column_share=1.0))
+                                      trees.Boosting(rounds=40, rate=0.3, row_share=1.0, tree_share=1.0, column_share=1.0))
     assert out.agg(F.max(F.abs(F.col("actual") - F.col("predicted")))).first()[0] < 0.5
 
 

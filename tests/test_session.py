@@ -2,7 +2,7 @@ import os
 import subprocess
 import sys
 
-from tidegrid.plans.backtest import PUBLISHED, origin_list
+from tidegrid.plans.backtest import PUBLISHED, origin_list, run_spec
 from tests.conftest import hours
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -35,3 +35,14 @@ def test_single_holdout_window(spark, series):
     row = origin_list(df, PUBLISHED["single_holdout"]).selectExpr(
         "string(origin)", "string(train_start)", "string(train_end)", "string(horizon_end)").collect()
     assert [tuple(r) for r in row] == [("2014-04-01 16:00:00", "2014-01-01 00:00:00", "2014-03-31 23:00:00", "2014-04-02 15:00:00")]
+
+
+def test_published_runs_have_their_origins(spark):
+    """Number of scored days and rows of training and validation of each published run, on a full hourly table."""
+    df = spark.sql("SELECT 'a' AS series_id, explode(sequence(timestamp '2014-01-01', timestamp '2020-01-03', interval 1 hour)) AS ts")
+    want = {"expanding_month": (31, 2168, 0), "rolling_quarter": (90, 2168, 0), "rolling_two_years": (365, 17529, 0),
+            "boosted_from_february": (334, 17528, 32), "boosted_two_years": (365, 17528, 32), "boosted_three_years": (1095, 26288, 40),
+            "boosted_summer": (92, 17528, 176), "smoothing_three_years": (1096, 8768, 0), "damped_trend_year": (366, 8768, 0)}
+    for name, (origins, train, valid) in want.items():
+        spec = run_spec(name)
+        assert (origin_list(df, spec).count(), spec.train, spec.valid, spec.horizon, spec.score_from) == (origins, train, valid, 40, 17), name

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
@@ -390,7 +392,7 @@ def boosted_layer(spark, folder):
 
 
 # Two rounds of stumps on inputs of few values: a boosted model that plain SQL can grow, for every origin.
-_STUMPS = boosted.Boosting(rounds=2, depth=1, row_share=1.0, column_share=1.0)
+_STUMPS = boosted.Boosting(rounds=2, depth=1, row_share=1.0, tree_share=1.0, column_share=1.0)
 _STUMP_FEATURES = ["day_week", "month", "day_month"]
 
 
@@ -510,29 +512,26 @@ def f15(spark, folder):
 HOURLY_BOOSTED = Backtest(train=14 * 24 + 8, valid=40)
 
 
-def _hourly_boosted(frame, used, **options):
-    table = boosted.store_features(frame)
-    out, _ = boosted.boosted_backtest(table, used, HOURLY_BOOSTED, BOOSTING, **options)
+def _hourly_boosted(rows, name):
+    plan = replace(published.BOOSTED[name], backtest=HOURLY_BOOSTED)
+    out = published.run_boosted(rows, plan)
     return render(published.score_days(out, HOURLY_BOOSTED, denominator="predicted").drop("peaks", "peaks_pred"), 6)
 
 
 @query("backtest_final_model")
 def final_model(spark, folder):
     """All 90 inputs, boosted trees, seasonal residual layer."""
-    rows = with_station_weather(spark, folder, tables.filled_events(spark, folder))
-    return _hourly_boosted(features.final_frame(rows), features.FINAL_FEATURES,
-                           residual_order=(1, 0, 1), residual_seasonal=(1, 0, 0))
+    return _hourly_boosted(with_station_weather(spark, folder, tables.filled_events(spark, folder)), "three_years")
 
 
 @query("backtest_boosted_weekday_columns")
 def early_model(spark, folder):
-    rows = with_station_weather(spark, folder, tables.filled_events(spark, folder))
-    return _hourly_boosted(features.early_frame(rows), features.EARLY_FEATURES)
+    """One column per weekday, all columns in every tree."""
+    return _hourly_boosted(with_station_weather(spark, folder, tables.filled_events(spark, folder)), "two_years")
 
 
 @query("backtest_boosted_dummies")
 def dummy_model(spark, folder):
-    """0/1 columns and the highs of the day before."""
+    """0/1 columns and the highs of the day before, 100 rounds."""
     rows = with_station_weather(spark, folder, tables.filled_events(spark, folder))
-    frame, used = features.dummy_frame(rows.withColumn("CQT_High", F.col("WJF_High")))
-    return _hourly_boosted(frame, used)
+    return _hourly_boosted(rows.withColumn("CQT_High", F.col("WJF_High")), "summer")

@@ -20,11 +20,12 @@ class Boosting:
     """The published settings of the boosted model.
 
     ``gamma`` and ``l2`` are a loss sum and a penalty on leaves, ``start`` the prediction before the first
-    tree. Columns are drawn for each level."""
+    tree. Columns are drawn for each tree (``tree_share``), and of those for each level (``column_share``)."""
     rounds: int = 120
     rate: float = 0.1
     depth: int = 5
     row_share: float = 0.9
+    tree_share: float = 0.9
     column_share: float = 0.9
     min_rows: int = 2
     gamma: float = 0.6
@@ -84,10 +85,11 @@ def drawn_rows(row_ids: np.ndarray, b: Boosting, origin: int, round_: int) -> np
 
 
 def drawn_columns(count: int, b: Boosting, origin: int, round_: int, level: int) -> np.ndarray:
-    """The columns of a level."""
+    """The columns of a level, drawn from those of its tree."""
+    own = np.random.default_rng([b.seed, origin % 2 ** 63, round_]).permutation(count)[:max(1, int(b.tree_share * count))]
+    chosen = np.random.default_rng([b.seed, origin % 2 ** 63, round_, level]).permutation(own)[:max(1, int(b.column_share * len(own)))]
     out = np.zeros(count, bool)
-    keep = max(1, int(np.ceil(b.column_share * count)))
-    out[np.random.default_rng([b.seed, origin % 2 ** 63, round_, level]).permutation(count)[:keep]] = True
+    out[chosen] = True
     return out
 
 

@@ -8,7 +8,7 @@ that use it by clock arithmetic, so no join of rows with origins is needed.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +50,26 @@ PUBLISHED = {
 }
 
 
+# Set-up, first and last scored day of each published run.
+RUNS = {
+    "expanding_month": ("expanding_month", "2017-01-01", "2017-01-31"),
+    "rolling_quarter": ("rolling_quarter", "2017-01-01", "2017-03-31"),
+    "rolling_two_years": ("rolling_two_years", "2017-01-01", "2017-12-31"),
+    "boosted_from_february": ("boosted_two_years", "2017-02-01", "2017-12-31"),
+    "boosted_two_years": ("boosted_two_years", "2017-01-01", "2017-12-31"),
+    "boosted_three_years": ("boosted_three_years", "2017-01-01", "2019-12-31"),
+    "boosted_summer": ("boosted_dummies", "2017-05-01", "2017-07-31"),
+    "smoothing_three_years": ("smoothing_year", "2017-01-01", "2020-01-01"),
+    "damped_trend_year": ("smoothing_year", "2017-01-01", "2018-01-01"),
+}
+
+
+def run_spec(name: str) -> Backtest:
+    """The set-up of a published run with the range of its origins."""
+    setup, first, last = RUNS[name]
+    return replace(PUBLISHED[setup], first=first, last=last)
+
+
 def year_anchor(year: int | Column, first_year: int = 2014, step: str = "hour") -> Column:
     """Row number (from 1) of the first step of ``year`` on a grid that starts
     with ``first_year``."""
