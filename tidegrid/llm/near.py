@@ -14,11 +14,13 @@ representative of a class, so copies are never expanded into pairs.
 3. Each band bucket is first tied to its smallest member. Pairs that pass the sketch are
    confirmed on the full sets, streamed by leader, and components are labelled.
 4. Buckets that still hold two labels compare their members across labels in the same way,
-   first with a few more leaders, then with each other, so no link inside a bucket is
-   skipped; pairs of equal label need no test.
+   first with a few more leaders, then with each other, so no link
+   inside a bucket is skipped; pairs of equal label need no test, and a pair is made only in the
+   first bucket that both share.
 
 Defined results: null text or text without words has an empty set and links with nothing;
-fewer than five words make one shingle; repeated ids act as one document; an empty table
+fewer than five words make one shingle; repeated ids act as one document; a document without
+an id (null) links with nothing, has no component and is not kept; an empty table
 gives an empty result. Columns other than the id and the text are not read.
 """
 
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import TEXT, field, lists, map_texts, slices, written
 from tidegrid.llm.graph import components
+from tidegrid.session import fresh_path, release
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -42,6 +45,8 @@ SHINGLE, PERCENT = 5, 75
 SAMPLES, BANDS = 128, 32
 BIN_BITS, BITS = 12, 4096
 DEVIATIONS = 5.0
+LEADERS, LEADER_PASSES = 8, 1
+SALT_ROWS = 64  # Pairs of one leader that go to one task.
 U = np.uint64
 STEP = U(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(7)
@@ -133,15 +138,16 @@ def close(a: str, b: str) -> Column:
     return (100 * F.least(*sizes) >= PERCENT * F.greatest(*sizes)) & ((filled - differ) / 2 >= expected - margin)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, salts: int = 16) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity.
 
-    Rows are dealt by (a, salt of b) and stream through a task: the set of ``a`` is made once,
-    each ``b`` is compared as it passes, so a group of any size is never held."""
+    Rows are dealt by (a, salt of b), with as many salts as a leader's pairs ask for, and stream through a task:
+    the set of ``a`` is made once, each ``b`` is compared as it passes, so a group of any size is never held."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     # A merge join at every size: broadcast ids would make the plan depend on how many there are.
     texts = written(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
+    large = pairs.groupBy("a").count().where(F.col("count") > SALT_ROWS).select("a", F.ceil(F.col("count") / SALT_ROWS).alias("salts"))
+    salted = written(pairs.join(large, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "salts"), F.lit(0)).alias("salt")), "salted")
     first = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select(
         "a", "salt", F.lit(0).alias("part"), F.col("a").alias("b"), "text")
     second = salted.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", F.lit(1).alias("part"), "b", "text")
@@ -166,7 +172,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, labels: DataFrame, marks: DataFrame) -> DataFrame:
-    """(key, rep, label, mark) of the buckets whose members have several labels."""
+    """(key, rep, label, mark, bands) of the buckets whose members have several labels."""
     named = written(members.select("key", "rep").join(labels.toDF("rep", "label"), "rep", "left").select(
         "key", "rep", F.coalesce("label", "rep").alias("label")), "named")
     mixed = written(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -174,28 +180,34 @@ def _unsettled(members: DataFrame, labels: DataFrame, marks: DataFrame) -> DataF
     return written(named.join(mixed, "key").join(marks, "rep"), "open")
 
 
-def _with_leaders(rest: DataFrame, leaders: int = 8) -> DataFrame:
-    """Pairs (a, b) of bucket members with up to ``leaders`` members a bucket. The choice goes by a hash
-    of the id, so buckets with the same members choose alike."""
-    chosen = rest.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(leaders)).alias("slot")).agg(
-        F.min_by(F.struct("rep", "label", "mark"), F.xxhash64("rep", F.lit(1))).alias("x"))
+def _with_leaders(rest: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of bucket members with up to LEADERS members a bucket. The choice goes by a hash
+    of the id and the turn, so buckets with the same members choose alike."""
+    chosen = rest.groupBy("key", F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(LEADERS)).alias("slot")).agg(
+        F.min_by(F.struct("rep", "label", "mark"), F.xxhash64("rep", F.lit(-turn))).alias("x"))
     chosen = written(chosen.select("key", F.col("x.rep").alias("a"), F.col("x.label").alias("a_label"), F.col("x.mark").alias("a_mark")), "leaders")
-    return rest.join(chosen, "key").where("rep <> a and label <> a_label").where(close("mark", "a_mark")).select("a", F.col("rep").alias("b"))
+    return rest.join(chosen, "key").where("rep <> a and label <> a_label").where(close("mark", "a_mark")).select(
+        F.least("rep", "a").alias("a"), F.greatest("rep", "a").alias("b"))
 
 
 def _with_all(rest: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket across labels."""
-    x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "label", "mark"))) for s in "ab")
-    pairs = x.join(y, "key").where("rep_a < rep_b and label_a <> label_b").where(close("mark_a", "mark_b"))
+    """All pairs (a, b) of a bucket across labels, each in the first bucket that both share."""
+    x, y = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "label", "mark", "bands"))) for s in "ab")
+    shared = F.filter(F.zip_with("bands_a", "bands_b", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
+    pairs = x.join(y, "key").where("rep_a < rep_b and label_a <> label_b").where(shared[0] == F.col("key")).where(close("mark_a", "mark_b"))
     return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
 def clusters(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marks = written(signatures(docs, "doc_id", "text"), "signatures")
-    classes = written(marks.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "signatures")
+    signatures(docs, "doc_id", "text").write.parquet(path)
+    made = spark.read.parquet(path)
+    classes = written(made.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by(F.struct("n_shingles", "filled", "sketch"), "doc_id").alias("mark")), "classes")
+    marks = written(made.select("doc_id", "n_shingles", "set_key"), "set-keys")
+    release(spark, path)  # both tables made from it are written
     sketches = classes.select("rep", "mark")
     rows = classes.select(F.explode("bands").alias("key"), "rep")
     leaders = written(rows.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "buckets")
@@ -205,12 +217,12 @@ def clusters(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     links = written(confirmed(tested, docs), "links")
     labels = written(components(links), "labels")
 
-    # Buckets that still hold several labels: first a few more leaders each, which a large group of
-    # near copies needs to become one label, then all pairs across labels that the sketch allows.
-    for pairing in (_with_leaders, _with_all):
-        rest = _unsettled(members, labels, sketches)
-        found = pairing(rest).distinct().join(tested, ["a", "b"], "left_anti")
-        found = written(found, "pairs")
+    # Buckets that still hold several labels: more leaders, which join large groups of near copies, then all pairs across labels.
+    for turn in range(1, LEADER_PASSES + 2):
+        every = turn > LEADER_PASSES
+        rest = _unsettled(members, labels, classes.select("rep", "mark", "bands"))
+        found = _with_all(rest) if every else _with_leaders(rest, turn).distinct()
+        found = written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(found)
         more = written(confirmed(found, docs), "links")
         if more.limit(1).count():
@@ -219,6 +231,6 @@ def clusters(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     whole = classes.select("set_key", "rep").join(labels.toDF("rep", "label"), "rep", "left").select(
         "set_key", F.coalesce("label", "rep").alias("component"))
-    return marks.select("doc_id", "n_shingles", "set_key").join(written(whole, "class-labels"), "set_key", "left").select(
+    return marks.join(written(whole, "class-labels"), "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
