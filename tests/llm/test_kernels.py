@@ -177,6 +177,20 @@ def test_tight_groups_do_not_count_themselves():
         assert (cover.traverse(points, points, n, n, cosine, True)[0] == linked @ n).all()
 
 
+@pytest.mark.parametrize("width", [8, 40, 64])
+def test_leading_columns_bound_the_cosine(width):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(1500, width))
+    points = np.concatenate([points, points[:200] + 0.05 * rng.normal(size=(200, width)), points[:100] * 3])
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    a, b, less = cover._leading(points, points[::2])
+    cosine, bound = points @ points[::2].T, a.astype(float) @ b.astype(float).T
+    assert (a @ b.T >= cosine - less).all() and (bound >= cosine - less).all()
+    # Hardly any pair of vectors without neighbours is left to be compared in full.
+    assert a.shape[1] < width or width < 32
+    assert ((a @ b.T >= 0.9 - less) & (cosine < 0.85)).mean() < 0.003
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
 <nav><ul><li><a href=/a>Menu one</a></ul></nav><div class="cookie-notice">We use cookies on this site to do things for you.</div>
 <div id="wrap">%s</div><aside>Side text that is rather long but no part of the article.</aside>

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.oracle_check import compare, connect
@@ -147,6 +148,19 @@ def test_vectors_of_all_kinds(spark):
     assert cover.clusters(df.limit(0)).count() == 0
 
 
+def test_copies_of_vectors_without_neighbours_follow_the_input(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(6000, 32)).astype(np.float32)
+    points[1::100] = points[::100] + 0.1 * rng.normal(size=(60, 32))
+    df = spark.createDataFrame(pd.DataFrame({"rep": range(len(points)), "n": 1, "v": [x.astype(float).tolist() for x in points]})).withColumn(
+        "point", F.col("rep").cast("string")).repartition(4).cache()
+    few, many = (cover._dealt(df.where(F.col("rep") < n), 0.9, 256, 64).count() / n for n in (1200, 6000))
+    assert many <= 1.3 * few <= 13
+    unit = points.astype(float) / np.linalg.norm(points.astype(float), axis=1, keepdims=True)
+    got = cover.clusters(df.select(F.col("rep").alias("vec_id"), F.col("v").alias("embedding")), block=64).toPandas().set_index("vec_id").sort_index()
+    assert (got.n_links == (unit @ unit.T >= 0.9).sum(axis=1) - 1).all() and got.n_links.sum() == 120
+
+
 def test_more_than_a_thousand_lengths_and_languages(spark):
     vectors = spark.range(2060).selectExpr(
         "id AS vec_id", "array_repeat(if(id < 1030, 1.0D, 2.0D), CAST(id % 1030 + 1 AS INT)) AS embedding")

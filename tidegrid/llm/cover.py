@@ -7,9 +7,10 @@ Upper levels: nested nets with halving radii over a bounded sample (``SAMPLE`` p
 only shapes the tree). The finest net of at most ``max_nodes`` points gives the nodes; every
 vector joins its nearest, and each node's covering radius is measured over all its vectors.
 Pairs of nodes farther apart than the threshold and both radii are pruned. Nodes are cut into
-blocks of about ``block`` vectors, and a task gets one pair of blocks. Lower levels: a task
-builds the tree of each block and traverses both at once: node pairs are pruned, or taken
-whole where even the farthest members link; leaves are compared exactly in double precision.
+blocks of ``block`` vectors or an eighth of all (at most 16 MB), and a task gets one pair of
+blocks. Lower levels: a task builds the tree of each block and traverses both at once: node
+pairs are pruned, or taken whole where even the farthest members link. Leaves are compared by
+upper bounds of their cosines first, all pairs that these leave open exactly in double precision.
 Only counts and one root per vector leave a task, never pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite parts link with
@@ -32,6 +33,12 @@ from tidegrid.llm.graph import components
 
 SAMPLE = 2048
 SLACK = 1e-9
+# A comparison of rows by columns stays in a core's cache; more candidate numbers than MANY are compared as a whole.
+ROWS, COLUMNS, MANY = 256, 2048, 1 << 21
+# A pair of balls taken on by itself costs about as much as so many pairs of vectors.
+STEP = 1 << 15
+# Cuts of a large node, and the bytes a cut may have before there are more of them.
+CUTS, CUT_BYTES = 8, 16 << 20
 
 
 def net(points: np.ndarray, radius: float, first: list[int]) -> list[int]:
@@ -64,58 +71,120 @@ class Node:
             if chosen is None:
                 break
             centres = points[at[chosen]]
-            nearest = (points[at] @ centres.T).argmax(axis=1)
-            self.children = [Node(points, at[nearest == i], c, radius, leaf) for i, c in enumerate(centres) if (nearest == i).any()]
+            nearest = np.concatenate([(points[at[i:i + ROWS]] @ centres.T).argmax(axis=1) for i in range(0, len(at), ROWS)])
+            members = np.split(at[np.argsort(nearest, kind="stable")], np.cumsum(np.bincount(nearest, minlength=len(centres)))[:-1])
+            self.children = [Node(points, m, c, radius, leaf) for m, c in zip(members, centres) if len(m)]
 
     @staticmethod
     def _net(points, radius, most):
         """A greedy net, or None if it needs more than ``most`` points (no finer structure)."""
-        chosen, far = [], np.full(len(points), np.inf)
-        while far.max() > radius:
-            if len(chosen) >= most:
+        near, chosen, left = 1 - radius * radius / 2, [], np.arange(len(points))
+        while len(left):
+            head, rest = left[:ROWS], left[ROWS:]
+            close = points[head] @ points[head].T >= near
+            free, picked = np.ones(len(head), bool), []
+            for i in range(len(head)):
+                if free[i]:
+                    picked.append(head[i])
+                    free &= ~close[i]
+            chosen += picked
+            left = rest[(points[rest] @ points[picked].T).max(axis=1) < near] if len(rest) else rest
+            # Points of a net of that size cover eight others on average; those that hardly cover one show there is none.
+            if len(chosen) > most or len(left) and len(points) - len(left) < 2 * len(chosen):
                 return None
-            k = int(far.argmax())
-            chosen.append(k)
-            far = np.minimum(far, np.sqrt(np.maximum(2 - 2 * points @ points[k], 0)))
         return chosen
 
 
+def _leading(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Both sides in single precision with fewer columns, and how much less than the cosine their products may be.
+
+    The columns are the strongest common directions and the length of the rest, so a product
+    is at least the cosine but for rounding: what stays below the threshold cannot link."""
+    width = a.shape[1]
+    if width >= 32 and len(a) * len(b) >= 64 * width * width:
+        basis = np.linalg.eigh(a.T @ a + b.T @ b)[1][:, ::-1][:, :3 * width // 8]
+        a, b = ((lead, np.sqrt(np.maximum((x * x).sum(axis=1) - (lead * lead).sum(axis=1), 0)))
+                for x, lead in ((a, a @ basis), (b, b @ basis)))
+        a, b = np.column_stack(a), np.column_stack(b)
+    return a.astype(np.float32), b.astype(np.float32), (a.shape[1] + 8) * 2.0 ** -23
+
+
 def traverse(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, cosine: float, same: bool, leaf: int = 256):
     """(links of a, links of b, root of each row): links weigh the partner's count, roots name local components."""
     limit = math.sqrt(2 - 2 * cosine)
     links_a, links_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     parent = np.arange(len(a) + (0 if same else len(b)))
     shift = 0 if same else len(a)
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def tie(i, others):
-        for j in others:
-            x, y = root(i), root(j)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-
-    def count(x, y, of_x, of_y):
-        links_a[x] += of_x
-        if not same:
-            links_b[y] += of_y
-        elif x is not y:
-            links_a[y] += of_y
+    lead_a, lead_b, less = _leading(a, b)
+
+    def tie(u, v):
+        # Every row points to the root of its tree; larger roots are hung below smaller ones until no link joins two trees.
+        while True:
+            u, v = parent[u], parent[v]
+            apart = u != v
+            if not apart.any():
+                return
+            u, v = u[apart], v[apart]
+            np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
+            while (parent[parent] != parent).any():
+                parent[:] = parent[parent]
+
+    def whole(x, y):
+        """All members link, but none with itself."""
+        if x is y:
+            links_a[x.at] += nb[x.at].sum() - nb[x.at]
+            return tie(np.repeat(x.at[0], len(x.at)), x.at)
+        links_a[x.at] += nb[y.at].sum()
+        (links_a if same else links_b)[y.at] += na[x.at].sum()
+        tie(np.repeat(x.at[0], len(y.at)), y.at + shift)
+        tie(np.repeat(y.at[0] + shift, len(x.at)), x.at)
 
     def compare(x, y):
-        c = a[x] @ b[y].T
-        linked = c >= cosine
-        for i, j in np.argwhere(np.abs(c - cosine) < SLACK):
-            linked[i, j] = math.fsum(a[x[i]] * b[y[j]]) >= cosine
-        if x is y:
-            linked &= ~np.eye(len(x), dtype=bool)
-        count(x, y, linked @ nb[y], na[x] @ linked)
-        for i in np.flatnonzero(linked.any(axis=1)):
-            tie(x[i], y[linked[i]] + shift)
+        for s in range(0, len(y.at), COLUMNS):
+            q = y.at[s:s + COLUMNS]
+            columns = np.ascontiguousarray(lead_b[q].T)
+            for r in range(0, len(x.at), ROWS):
+                p = x.at[r:r + ROWS]
+                i, j = np.divmod(np.flatnonzero(lead_a[p] @ columns >= cosine - less), len(q))
+                if not len(i):
+                    continue
+                if len(i) * a.shape[1] > MANY:
+                    c = a[p] @ b[q].T
+                    i, j = np.nonzero(c >= cosine - SLACK)
+                    c = c[i, j]
+                else:
+                    c = np.einsum("ij,ij->i", a[p[i]], b[q[j]])
+                i, j = p[i], q[j]
+                linked = c >= cosine
+                for k in np.flatnonzero(np.abs(c - cosine) < SLACK):
+                    linked[k] = math.fsum(a[i[k]] * b[j[k]]) >= cosine
+                if same:
+                    linked &= i != j
+                i, j = i[linked], j[linked]
+                np.add.at(links_a, i, nb[j])
+                if x is not y:
+                    np.add.at(links_a if same else links_b, j, na[i])
+                tie(i, j + shift)
+
+    def open_pairs(x, y):
+        """Pairs of parts that may link, or None where taking the balls apart saves too little."""
+        xs, ys = x.children or [x], y.children or [y]
+        centres, radii = np.array([d.centre for d in ys]).T, np.array([d.radius for d in ys])
+        sizes, work, pairs = np.array([len(d.at) for d in ys]), 0, []
+        for r in range(0, len(xs), ROWS):
+            some = xs[r:r + ROWS]
+            apart = np.sqrt(np.maximum(2 - 2 * np.array([c.centre for c in some]) @ centres, 0))
+            near = apart - np.array([c.radius for c in some])[:, None] - radii <= limit + 1e-6
+            i, j = np.nonzero(near)
+            if x is y:
+                # Each pair of children once, so two different nodes never share a member.
+                once = i + r <= j
+                i, j = i[once], j[once]
+            pairs.append((i + r, j))
+            work += int((np.array([len(c.at) for c in some])[i] * sizes[j] + STEP).sum())
+            if 2 * work > len(x.at) * len(y.at):
+                return None
+        return [(xs[i], ys[j]) for some in pairs for i, j in zip(*some)]
 
     tree = Node(a, np.arange(len(a)), a[0], 2.0, leaf)
     other = tree if same else Node(b, np.arange(len(b)), b[0], 2.0, leaf)
@@ -125,20 +194,15 @@ def traverse(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, cosin
         apart = float(np.linalg.norm(x.centre - y.centre))
         if apart - x.radius - y.radius > limit + SLACK:
             continue
-        if x is not y and apart + x.radius + y.radius <= limit - SLACK:
-            count(x.at, y.at, nb[y.at].sum(), na[x.at].sum())
-            tie(x.at[0], y.at + shift)
-            tie(y.at[0] + shift, x.at)
-        elif x is y and x.children:
-            # Each pair of children once, so two different nodes never share a member.
-            todo += [(c, d) for i, c in enumerate(x.children) for d in x.children[i:]]
-        elif x.children and (not y.children or x.radius >= y.radius):
-            todo += [(c, y) for c in x.children]
-        elif y.children:
-            todo += [(x, c) for c in y.children]
+        if apart + x.radius + y.radius <= limit - SLACK:
+            whole(x, y)
+            continue
+        parts = open_pairs(x, y) if x.children or y.children else None
+        if parts is None:
+            compare(x, y)
         else:
-            compare(x.at, y.at)
-    return links_a, links_b, np.array([root(i) for i in range(len(parent))])
+            todo += parts
+    return links_a, links_b, parent
 
 
 def _unit(column) -> np.ndarray:
@@ -196,8 +260,8 @@ def _whole_links(points: DataFrame, cosine: float) -> DataFrame:
     return points.select("size", "rep", "n", "v").groupBy("size").applyInArrow(meet, "rep long, links long, root long")
 
 
-def _block_links(points: DataFrame, cosine: float, max_nodes: int, block: int) -> DataFrame:
-    """(rep, links, root) of each vector that links within a pair of blocks."""
+def _dealt(points: DataFrame, cosine: float, max_nodes: int, block: int) -> DataFrame:
+    """Each vector once for each block that its own block meets, with the pair of blocks (p, q)."""
     limit = math.sqrt(2 - 2 * cosine)
     sample = points.orderBy(F.xxhash64("point")).limit(SAMPLE).select("v").collect()
     shape = np.array([r[0] for r in sample], float)
@@ -223,7 +287,9 @@ def _block_links(points: DataFrame, cosine: float, max_nodes: int, block: int) -
 
     placed = written(points.select("rep", "n", "v").mapInArrow(assign, "rep long, n long, v array<double>, node int, away double"), "placed")
     stats = {r["node"]: (r["away"], r["n"]) for r in placed.groupBy("node").agg(F.max("away").alias("away"), F.count("*").alias("n")).collect()}
-    parts = {k: max(1, -(-n // block)) for k, (_, n) in stats.items()}
+    # A cut holds an eighth of all vectors, so copies follow the input, until that is more than a task should hold.
+    cut = max(block, min(-(-sum(n for _, n in stats.values()) // CUTS), CUT_BYTES // (8 * shape.shape[1])))
+    parts = {k: -(-n // cut) for k, (_, n) in stats.items()}
     near = [(x, y, parts[x], parts[y]) for x in stats for y in stats
             if np.linalg.norm(centres[x] - centres[y]) - stats[x][0] - stats[y][0] <= limit + SLACK]
     partners = placed.sparkSession.createDataFrame(near, "node int, other int, own int, others int")
@@ -231,10 +297,13 @@ def _block_links(points: DataFrame, cosine: float, max_nodes: int, block: int) -
     dealt = placed.join(F.broadcast(partners), "node").withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("own")).cast("int"))
     dealt = dealt.withColumn("across", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     mine, yours = F.struct("node", "cut"), F.struct(F.col("other").alias("node"), F.col("across").alias("cut"))
-    dealt = dealt.select(F.least(mine, yours).alias("p"), F.greatest(mine, yours).alias("q"), (mine <= yours).alias("left"), "rep", "n", "v")
+    return dealt.select(F.least(mine, yours).alias("p"), F.greatest(mine, yours).alias("q"), (mine <= yours).alias("left"), "rep", "n", "v")
 
+
+def _block_links(points: DataFrame, cosine: float, max_nodes: int, block: int) -> DataFrame:
+    """(rep, links, root) of each vector that links within a pair of blocks."""
     def meet(table: pa.Table) -> pa.Table:
-        left = np.array(table.column("left").to_pylist(), bool)
+        left = table.column("left").to_numpy()
         rep = table.column("rep").to_numpy()
         n = table.column("n").to_numpy().astype(np.int64)
         unit = _unit(table.column("v").combine_chunks())
@@ -251,4 +320,4 @@ def _block_links(points: DataFrame, cosine: float, max_nodes: int, block: int) -
         keep = links > 0
         return pa.table({"rep": rep[every][keep], "links": links[keep], "root": rep[every][roots[keep]]})
 
-    return dealt.groupBy("p", "q").applyInArrow(meet, "rep long, links long, root long")
+    return _dealt(points, cosine, max_nodes, block).groupBy("p", "q").applyInArrow(meet, "rep long, links long, root long")
