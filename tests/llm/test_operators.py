@@ -161,6 +161,23 @@ def test_copies_of_vectors_without_neighbours_follow_the_input(spark):
     assert (got.n_links == (unit @ unit.T >= 0.9).sum(axis=1) - 1).all() and got.n_links.sum() == 120
 
 
+def test_loose_groups_share_blocks(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(100, 32))
+    points = centres[rng.integers(0, 100, 3000)] / np.linalg.norm(centres, axis=1).mean() + 0.07 * rng.normal(size=(3000, 32))
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"rep": range(3000), "n": 1, "v": points.tolist()})).withColumn("point", F.col("rep").cast("string")).cache()
+    # No group can be kept apart from another, so a vector meets all blocks, but not all groups.
+    assert cover._dealt(df, 0.9, 256, 64).count() <= 3000 * 12
+    links = unit @ unit.T >= 0.9
+    got = cover.clusters(df.select(F.col("rep").alias("vec_id"), F.col("v").alias("embedding")), block=64).toPandas().set_index("vec_id").sort_index()
+    assert (got.n_links == links.sum(axis=1) - 1).all() and got.n_links.sum() > 1000
+    label = np.arange(3000)
+    for _ in range(100):
+        label = np.minimum(label, np.where(links, label, 3000).min(axis=1))
+    assert (got.component_id == label).all()
+
+
 def test_more_than_a_thousand_lengths_and_languages(spark):
     vectors = spark.range(2060).selectExpr(
         "id AS vec_id", "array_repeat(if(id < 1030, 1.0D, 2.0D), CAST(id % 1030 + 1 AS INT)) AS embedding")

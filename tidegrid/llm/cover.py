@@ -6,9 +6,9 @@ Equal vectors are one point with a count.
 Upper levels: nested nets with halving radii over a bounded sample (``SAMPLE`` points; it
 only shapes the tree). The finest net of at most ``max_nodes`` points gives the nodes; every
 vector joins its nearest, and each node's covering radius is measured over all its vectors.
-Pairs of nodes farther apart than the threshold and both radii are pruned. Nodes are cut into
-blocks of ``block`` vectors or an eighth of all (at most 16 MB), and a task gets one pair of
-blocks. Lower levels: a task builds the tree of each block and traverses both at once: node
+Pairs of nodes farther apart than the threshold and both radii are pruned. Nodes that are left
+together are packed into, and large ones cut into, blocks of ``block`` vectors or an eighth of
+all (at most 16 MB), and a task gets one pair of blocks. Lower levels: a task builds the tree of each block and traverses both at once: node
 pairs are pruned, or taken whole where even the farthest members link. Leaves are compared by
 upper bounds of their cosines first, all pairs that these leave open exactly in double precision.
 Only counts and one root per vector leave a task, never pairs.
@@ -289,14 +289,27 @@ def _dealt(points: DataFrame, cosine: float, max_nodes: int, block: int) -> Data
     stats = {r["node"]: (r["away"], r["n"]) for r in placed.groupBy("node").agg(F.max("away").alias("away"), F.count("*").alias("n")).collect()}
     # A cut holds an eighth of all vectors, so copies follow the input, until that is more than a task should hold.
     cut = max(block, min(-(-sum(n for _, n in stats.values()) // CUTS), CUT_BYTES // (8 * shape.shape[1])))
-    parts = {k: -(-n // cut) for k, (_, n) in stats.items()}
-    near = [(x, y, parts[x], parts[y]) for x in stats for y in stats
-            if np.linalg.norm(centres[x] - centres[y]) - stats[x][0] - stats[y][0] <= limit + SLACK]
-    partners = placed.sparkSession.createDataFrame(near, "node int, other int, own int, others int")
-    # A block meets each block of the near nodes; the pair is named by its smaller block first.
+    nodes = list(stats)
+    reach, sizes = np.array([stats[k][0] for k in nodes]), np.array([stats[k][1] for k in nodes])
+    apart = np.array([np.linalg.norm(centres[nodes] - centres[k], axis=1) for k in nodes]).reshape(len(nodes), -1)
+    close = apart - reach[:, None] - reach <= limit + SLACK
+    # Small nodes share a group with the nearest of those that they meet anyway; only a large node by itself is cut.
+    group, held = np.full(len(nodes), -1), []
+    for i in np.argsort(-sizes, kind="stable"):
+        if group[i] < 0:
+            group[i], total = len(held), sizes[i]
+            for j in np.argsort(apart[i], kind="stable"):
+                if group[j] < 0 and close[i, j] and total + sizes[j] <= cut:
+                    group[j], total = len(held), total + sizes[j]
+            held.append(-(-int(total) // cut))
+    meets = np.zeros((len(held), len(held)), bool)
+    np.logical_or.at(meets, (group[:, None], group), close)
+    near = [(k, int(g), int(h), held[g], held[h]) for k, g in zip(nodes, group) for h in np.flatnonzero(meets[g])]
+    partners = placed.sparkSession.createDataFrame(near, "node int, group int, other int, own int, others int")
+    # A block meets each block of the near groups; the pair is named by its smaller block first.
     dealt = placed.join(F.broadcast(partners), "node").withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("own")).cast("int"))
     dealt = dealt.withColumn("across", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    mine, yours = F.struct("node", "cut"), F.struct(F.col("other").alias("node"), F.col("across").alias("cut"))
+    mine, yours = F.struct("group", "cut"), F.struct(F.col("other").alias("group"), F.col("across").alias("cut"))
     return dealt.select(F.least(mine, yours).alias("p"), F.greatest(mine, yours).alias("q"), (mine <= yours).alias("left"), "rep", "n", "v")
 
 
